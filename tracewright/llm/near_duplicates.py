@@ -8,9 +8,11 @@ than plain MinHash's. Signatures are cut into bands; documents that share a band
 No bucket's pairs are written out. Documents with one and the same set are one representative. Then
 1. each representative is checked against the lowest representative it shares most bands with, and confirmed links are
    grouped by union-find (within tasks, then by minimum labels over the cluster);
-2. buckets that still hold more than one group are searched block by block for pairs of different groups whose signatures
-   agree enough to leave a pair at the threshold out with a chance under 1e-7; these are checked too. This repeats until
-   nothing unchecked is left, so a bucket's size never limits what is found.
+2. representatives that share a bucket share the bucket's lowest one, its lead. The representatives of a lead that still
+   are of different groups are searched in pairs of blocks of bounded size: within a task, pairs of different groups whose
+   signatures agree enough (a pair at the threshold is left out with a chance under 1e-7) are compared, the likeliest
+   first, and union-find skips what has become one group. Only the links that join groups leave the task, fewer than it
+   has rows, however large a group of copies is.
 Every link is confirmed on the two full sets of 64-bit shingle hashes.
 
 Defined results: null or empty text, or text without words: n_shingles 0, own component, kept. Fewer words than the shingle
@@ -35,8 +37,8 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: Ids up to which a set of ids is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1 << 20
-#: Members of a bucket that one block holds.
-BLOCK = 2000
+#: Representatives, and shingles of theirs, that a block holds on average.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 _STEP = W.U(0x9E3779B97F4A7C15)
 
 
@@ -170,21 +172,49 @@ def only(docs: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "le
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
-def _block_pairs(floor: int):
+def _shingles(size: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, hashes, bounds = shingle_sets(strings(batch.column("text")), size)
+        return pa.record_batch({"id": batch.column("id"), "shingles": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())})
+
+    return lambda batches: by_text(batches, "text", work)
+
+
+def _block_links(floor: int, least: int, of: int):
+    """Of a pair of blocks (side 0 and 1, or side 0 alone): links that join different groups."""
+
     def work(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["side", "id"], kind="stable")
-        ids, comps, side = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint16).reshape(len(pdf), SLOTS)
-        other = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(ids))
+        ids, side, n = pdf["id"].to_numpy(), pdf["side"].to_numpy(), len(pdf)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint16).reshape(n, SLOTS)
+        sizes = np.array([len(x) // 8 for x in pdf["shingles"]])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        known, elements = np.unique(np.frombuffer(b"".join(pdf["shingles"]), dtype=np.uint64), return_inverse=True)
+        _, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        mark = np.zeros(len(known), bool)
+        cross = (side == 1).any()
         out = []
         for i in np.flatnonzero(side == 0).tolist():
-            rest = other[(other > i) & (comps[other] != comps[i])]
-            if len(rest):
-                rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= floor]
-                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[rest]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            rest = np.flatnonzero(side == 1) if cross else np.arange(i + 1, n)
+            rest = rest[group[rest] != group[i]]
+            agree = (sketch[rest] == sketch[i]).sum(axis=1)
+            rest = rest[np.argsort(-agree, kind="stable")[: (agree >= floor).sum()]]
+            mark[elements[bounds[i] : bounds[i + 1]]] = True
+            some = 4
+            while len(rest):
+                now, rest = rest[:some], rest[some:]
+                some *= 8
+                for j in now.tolist():
+                    if group[j] != group[i]:
+                        common = int(mark[elements[bounds[j] : bounds[j + 1]]].sum())
+                        if of * common >= least * (sizes[i] + sizes[j] - common):
+                            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                            group[group == group[j]] = group[i]
+                rest = rest[group[rest] != group[i]]
+            mark[elements[bounds[i] : bounds[i + 1]]] = False
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work
 
@@ -200,34 +230,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     prints = staged(docs.mapInArrow(_prints(shingle_words), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"))
     filled = prints.where("set_key is not null and doc_id is not null")
     copies = staged(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = staged(filled.join(copies, "set_key").where("doc_id = rep").select("rep", "bands", "sketch"))
-    members = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    reps = staged(filled.join(copies, "set_key").where("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles", "bands", "sketch"))
+    members = reps.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    members = staged(members.join(shared, "bucket").distinct())
-    best = members.where("lead < id").groupBy("id", "lead").count().groupBy("id").agg(F.min_by("lead", F.struct(-F.col("count"), "lead")).alias("lead"))
-    pairs = staged(best.select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    texts = staged(only(docs, members.select("id")).where("doc_id is not null"))
-    links = checked = None
-    while True:
-        fresh = staged(
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_similar(shingle_words, least, of), "a long, b long")
-        )
-        links = fresh if links is None else staged(links.union(fresh))
-        checked = pairs if checked is None else staged(checked.union(pairs))
-        labels = components(links)
-        grouped = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = grouped.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").join(reps.select(F.col("rep").alias("id"), "sketch"), "id")
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        sides = rows.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        sides = sides.select("bucket", "id", "comp", "sketch", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.expr("if(own <= with, 0, 1)").alias("side"))
-        found = sides.groupBy("bucket", "p", "q").applyInPandas(_block_pairs(floor), "a long, b long").distinct()
-        pairs = staged(found.join(checked, ["a", "b"], "left_anti"))
-        if not pairs.head(1):
-            break
+    members = staged(members.join(shared, "bucket").groupBy("lead", "id").count())
+    best = members.where("lead < id").groupBy("id").agg(F.min_by("lead", F.struct(-F.col("count"), "lead")).alias("lead"))
+    texts = staged(only(docs, members.select("id")).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"))
+    links = staged(
+        best.select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        .mapInArrow(_similar(shingle_words, least, of), "a long, b long")
+    )
+    grouped = members.select("lead", "id").join(components(links), "id", "left").select("lead", "id", F.coalesce("comp", "id").alias("comp"))
+    grouped = grouped.join(reps.select("id", "n_shingles"), "id")
+    mixed = grouped.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("low < high")
+    mixed = mixed.select("lead", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    open_rows = staged(grouped.join(mixed, "lead").select("lead", "id", "comp", "blocks"))
+    sets = only(texts, open_rows.select("id"), "id").mapInArrow(_shingles(shingle_words), "id long, shingles binary")
+    rows = open_rows.join(reps.select("id", "sketch"), "id").join(sets.dropDuplicates(["id"]), "id")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    sides = rows.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    sides = sides.select("lead", "id", "comp", "sketch", "shingles", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.expr("if(own <= with, 0, 1)").alias("side"))
+    joined = staged(sides.groupBy("lead", "p", "q").applyInPandas(_block_links(floor, least, of), "a long, b long"))
+    labels = components(links.union(joined))
     comp = filled.join(copies, "set_key").select("doc_id", "set_key", "rep").distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     comp = comp.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = prints.select("doc_id", "n_shingles").join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, language, packing, toxicity
+from tracewright.llm import bpe, language, licenses, packing, personal, quality, toxicity
 from tracewright.llm.near_duplicates import near_duplicates
 from tracewright.llm.shared import table
 
@@ -28,18 +28,56 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    words, base = F.col("places.word"), F.col("places.label")
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    best = F.array_max(F.col("blocks.containment"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.col("blocks.template"))).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     rows = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out)))
     return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "fallback_share", "token_entropy")
+
+
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal.found(table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal.KINDS[:4]]
+    return rows.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "id")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_language, op4_bpe, op6_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_packing, op3_language, op4_bpe, op5_licenses, op6_toxicity, op8_quality, op9_personal, op10_near_duplicates)}
 
 
 def oracle_sql():

@@ -42,7 +42,7 @@ def _lower(column: pa.Array) -> pa.Array:
 
 def _word_grams(word: str) -> set[str]:
     marked = f"^{word}$"
-    return {marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)}
+    return {marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)} - {"^", "$"}
 
 
 _SPLIT = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")

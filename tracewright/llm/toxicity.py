@@ -94,7 +94,7 @@ def fit(known: np.ndarray, rows: list[tuple[list[int], list[float]]], labels: np
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     rng = np.random.default_rng(seed)
     made = Machine(known, bias, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), RANK)))
-    if not 0 < share < 1:
+    if not len(rows) or not 0 < share < 1:
         return made
     chosen = known
     sizes = [len(r[0]) for r in rows]

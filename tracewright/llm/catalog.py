@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, language, licenses, packing, personal, quality, toxicity
+from tracewright.llm import bpe, fingerprint, language, licenses, line_dedup, packing, personal, quality, toxicity
 from tracewright.llm.near_duplicates import near_duplicates
 from tracewright.llm.shared import table
 
@@ -16,6 +16,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs, and how many characters went."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_before"))
+    rows = line_dedup.without_repeats(docs)
+    return rows.select("doc_id", "chars_before", (F.col("chars_before") - F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars_removed"), "text")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -54,6 +61,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), fingerprint.tree(text).alias("own"))
+    rows = fingerprint.with_next(docs, "doc_id", F.xxhash64("text"), ["text", "own"])
+    swapped = F.floor(F.col("n_chars") / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - swapped), F.substring(F.col("next.text"), F.lit(1), swapped))
+    rows = rows.select("doc_id", "n_chars", "own", F.col("next.own").alias("following"), fingerprint.let(edited, lambda t: F.struct(F.sha2(t, 256).alias("sha"), fingerprint.tree(t).alias("tree"))).alias("edited"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.col("edited.sha").alias("edited_sha256"),
+        fingerprint.printed(F.col("own")).alias("fingerprint"),
+        fingerprint.printed(F.col("edited.tree")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("own"), F.col("edited.tree")).alias("near_edited"),
+        fingerprint.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "fallback_share", "token_entropy")
@@ -77,7 +102,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_language, op4_bpe, op5_licenses, op6_toxicity, op8_quality, op9_personal, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_language, op4_bpe, op5_licenses, op6_toxicity, op7_fingerprint, op8_quality, op9_personal, op10_near_duplicates)}
 
 
 def oracle_sql():

@@ -4,13 +4,13 @@ Paragraphs (lines) are hashed by SHA-256; a section is a run of paragraphs that
 paragraph's hash begins with 0 or 1, so that an edit moves no later section's ends; sections' and the root's hashes are
 SHA-256 of their children's. Equal roots mean equal texts, and going down where hashes differ finds the edits.
 
-For likeness, the fingerprint also carries the `SKETCH` least hashes of the text's pieces (cut where the content fixes it, a
-few words each; short texts: runs of four characters) and the hashes of `BLOCKS` equal stretches of the text. From these two
-fingerprints tell how much their texts share: 1 for equal roots, else the greater of Dice's coefficient of the pieces, as
+For likeness, the fingerprint also carries the `SKETCH` least hashes of the text's runs of three words (short texts: of four
+characters) and the hashes of `BLOCKS` equal stretches of the text. From these two
+fingerprints tell how much their texts share: 1 for equal roots, else the greater of Dice's coefficient of the runs, as
 estimated from the least hashes of the union, and the share of equal stretches (which replacements leave in place even where
-a text repeats few pieces).
+a text repeats few runs).
 
-Defined results: null text counts as empty. The empty text has a root and no pieces; two empty texts are alike by 1, an
+Defined results: null text counts as empty. The empty text has a root and no runs; two empty texts are alike by 1, an
 empty and another by 0. Repeated rows give one row each. Null doc_id sorts first. Other columns are ignored.
 """
 
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import let
 
 SKETCH, BLOCKS = 64, 8
-#: Code points under which a text's pieces are runs of four characters.
+#: Code points under which a text's runs are of four characters.
 SHORT = 400
 #: Rows that a bucket of the order by doc_id holds on average, and the most buckets there are (a bound of what is broadcast).
 BUCKET, BUCKETS = 1024, 100_000
 _PARAGRAPH = r"(?<=\n)"
-_PIECE = r"(?<=\n)|(?<=[dghmpsyDGHMPSY\p{Punct}][ \t])"
+_SPACES = r"[\s。、，！？]+"
 _SECTION = "(?<=[01][0-9a-f]{63},)|(?<=01ba4719c80b6fe911b091a7c05124b64eeece964e09c058ef8f9805daca546b,)"
 
 
@@ -43,8 +43,8 @@ def _root(text: Column) -> Column:
 
 def _sketch(text: Column) -> Column:
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(4))))
-    pieces = F.transform(F.filter(F.split(text, _PIECE, -1), lambda p: p != ""), lambda p: F.xxhash64(p))
-    hashes = F.when(text == "", F.array().cast("array<long>")).when(F.length(text) < SHORT, runs).otherwise(pieces)
+    triples = let(F.split(text, _SPACES, -1), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3))))
+    hashes = F.when(text == "", F.array().cast("array<long>")).when(F.length(text) < SHORT, runs).otherwise(triples)
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
 
 

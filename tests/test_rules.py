@@ -1,0 +1,267 @@
+"""Rules and matching against a small model in plain Python, on made and on random records."""
+
+import datetime
+import difflib
+import itertools
+import random
+import re
+import statistics
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.operators import report, rules
+from tracewright.operators.matching import Matching, first_alike, occurrences, unnested
+from tracewright.sources import records as sources
+
+SCHEMA = "record_seq long, id string, entries array<struct<date: string, item: string, tag: string>>"
+
+
+def entries(*pairs):
+    return [(d, i, None) for d, i in pairs]
+
+
+RECORDS = [
+    (0, "A", entries(("2026-01-10", "poor sleep"), ("2026-02-02", "poor sleep"), ("2026-03-01", "poor sleep"), ("2026-01-10", "rash"))),
+    (1, "B", entries(("2026-01-10", "Poor  Sleep "), ("2026-02-02", "poor sleep"), (None, "poor slep"), ("2026-02-02", "STRASSE"), ("2026-05-09", "straße"))),
+    (2, "C", [(None, None, None), ("2026-01-01", "", None), ("2026-01-01", " ", "t"), None, ("unknown", "x", None), ("unknown", "y", None), ("2026-13-01", "x", None), ("2026-13-01", "y", None)]),
+    (3, "D", entries(("2026-02-01", "burst"), ("2026-02-10", "burst"), ("2026-02-20", "burst"), ("2026-05-10", "burst"))),
+    (4, "E", entries(*[(str(datetime.date(2026, 1, 1) + datetime.timedelta(n)), "dose") for n in (0, 30, 60, 90, 97, 104, 111)])),
+    (5, "A", entries(("2026-03-05", "cough"), ("2026-03-05", "cough"), ("2026-03-05", "ache"), ("2026-03-09", "ache"), ("2026-03-09", "cough"))),
+    (6, None, None),
+    (7, "G", []),
+    (8, "H", entries(("2026-01-10", "hypertension"), ("2026-02-10", "HTN"), ("2026-02-10", "htn"))),
+]
+
+
+def parse(text):
+    try:
+        return datetime.date.fromisoformat(text) if len(text) == 10 else None
+    except ValueError:
+        return None
+
+
+def groups(record, normalize=False, synonyms=None, cutoff=None):
+    fold = (lambda x: " ".join(x.split()).casefold()) if normalize else (lambda x: x)
+    known = {fold(k): fold(v) for k, v in (synonyms or {}).items()}
+    out = defaultdict(list)
+    for i, e in enumerate(record[2] or []):
+        if e and e[1]:
+            out[known.get(fold(e[1]), fold(e[1]))].append((e[0] or "", e[1], i))
+    if cutoff is None:
+        return out
+    heads, merged = [], defaultdict(list)
+    for key in sorted(out):
+        head = next((h for h in heads if difflib.SequenceMatcher(None, key, h).ratio() >= cutoff), key)
+        if head == key:
+            heads.append(key)
+        merged[head] += out[key]
+    return merged
+
+
+def label(occ):
+    n = Counter(o[1] for o in occ)
+    return min(n, key=lambda x: (-n[x], min((o[0], o[2]) for o in occ if o[1] == x)))
+
+
+def variants(occ):
+    return sorted({o[1] for o in occ})
+
+
+def dated(occ):
+    return sorted((parse(o[0]), o[2]) for o in occ if parse(o[0]))
+
+
+def model(name, records, matching, **limits):
+    out = []
+    for record in records:
+        found = groups(record, **matching)
+        rid = record[1] or ""
+        for key, occ in found.items():
+            days = [d for d, _ in dated(occ)]
+            base = (record[0], key, rid, label(occ), variants(occ))
+            if name == "recurrence" and len(occ) >= limits["least"]:
+                out.append((*base, len(occ), sorted(o[0] for o in occ)))
+            if name == "gap":
+                out += [(*base, (b - a).days, str(a), str(b)) for a, b in itertools.pairwise(days) if (b - a).days > limits["days"]]
+            if name == "frequency":
+                spans = [[d for d in days if a <= d and (d - a).days <= limits["days"]] for a in days]
+                best = max(spans, key=len, default=[])
+                if len(best) >= limits["least"]:
+                    out.append((*base, len(best), str(best[0]), str(best[-1]), [str(d) for d in best]))
+            if name == "cadence":
+                distinct = sorted(set(days))
+                gaps = [(b - a).days for a, b in itertools.pairwise(distinct)]
+                if len(distinct) < limits["least"] or len(gaps) < 2:
+                    continue
+
+                def key_of(k, gaps=gaps):
+                    u = sum((x > y) - (x < y) for x in gaps[:k] for y in gaps[k:])
+                    a, b = statistics.median(gaps[:k]), statistics.median(gaps[k:])
+                    return abs(u), max(a / b, b / a), -k
+
+                k = max(range(1, len(gaps)), key=key_of)
+                a, b = statistics.median(gaps[:k]), statistics.median(gaps[k:])
+                if max(a / b, b / a) >= limits["ratio"]:
+                    out.append((*base, round(a), round(b), str(distinct[k]), [str(d) for d in distinct]))
+        if name == "cooccurrence":
+            cited = {k: {o[0] for o in occ if o[0]} for k, occ in found.items()}
+            for a, b in itertools.combinations(sorted(k for k in cited if cited[k]), 2):
+                if not limits["days"]:
+                    pairs = [(x, x, 0) for x in sorted(cited[a] & cited[b])]
+                else:
+                    near = sorted((abs((parse(x) - parse(y)).days), x, y) for x in cited[a] for y in cited[b] if parse(x) and parse(y))
+                    pairs = []
+                    for gap, x, y in near:
+                        if gap <= limits["days"] and all(x != p[0] and y != p[1] for p in pairs):
+                            pairs.append((x, y, gap))
+                    pairs.sort()
+                if len(pairs) >= limits["least"]:
+                    out.append((record[0], a, b, rid, label(found[a]), label(found[b]), len(pairs), sorted({x for p in pairs for x in p[:2]}), variants(found[a]), variants(found[b]), pairs if limits["days"] else []))
+    return sorted(out, key=str)
+
+
+COLUMNS = {
+    "recurrence": ["record_seq", "key", "record_id", "item", "variants", "count", "dates"],
+    "gap": ["record_seq", "key", "record_id", "item", "variants", "gap_days", "before_date", "after_date"],
+    "frequency": ["record_seq", "key", "record_id", "item", "variants", "count", "window_start", "window_end", "dates"],
+    "cadence": ["record_seq", "key", "record_id", "item", "variants", "before_interval", "after_interval", "pivot_date", "dates"],
+    "cooccurrence": ["record_seq", "key_a", "key_b", "record_id", "item_a", "item_b", "count", "dates", "variants_a", "variants_b", "pairs"],
+}
+
+
+def engine(spark, name, records, matching, **limits):
+    made = Matching(normalize=matching.get("normalize", False), synonyms=matching.get("synonyms"), fuzzy_cutoff=matching.get("cutoff"))
+    occ = occurrences(unnested(spark.createDataFrame(records, SCHEMA)), made)
+    run = {
+        "recurrence": lambda: rules.recurrence(occ, limits["least"]),
+        "gap": lambda: rules.gap(occ, limits["days"]),
+        "frequency": lambda: rules.frequency(occ, limits["days"], limits["least"]),
+        "cadence": lambda: rules.cadence(occ, limits["least"], limits["ratio"]),
+        "cooccurrence": lambda: rules.cooccurrence(occ, limits["least"], limits["days"]),
+    }[name]
+    rows = run().select(COLUMNS[name]).collect()
+    plain = lambda v: [tuple(x) if isinstance(x, tuple) else x for x in v] if isinstance(v, list) else v
+    return sorted((tuple(plain(v) for v in r) for r in rows), key=str)
+
+
+def random_records(seed):
+    rng = random.Random(seed)
+    items = ["ache", "ACHE ", "cough", "rash", "rashes"]
+    day = lambda: str(datetime.date(2050, 1, 1) + datetime.timedelta(rng.randint(0, 120)))
+    return [(i, f"r{i // 2}", [(rng.choice([day(), day(), day(), None, "soon"]), rng.choice(items), None) for _ in range(rng.randint(0, 14))]) for i in range(30)]
+
+
+RUNS = [
+    ("recurrence", {"least": 2}),
+    ("gap", {"days": 25}),
+    ("frequency", {"days": 30, "least": 3}),
+    ("cadence", {"least": 4, "ratio": 2.0}),
+    ("cooccurrence", {"least": 2, "days": 0}),
+    ("cooccurrence", {"least": 1, "days": 4}),
+]
+
+
+@pytest.mark.parametrize(("name", "limits"), RUNS)
+@pytest.mark.parametrize("matching", [{}, {"normalize": True, "synonyms": {"HTN": "hypertension", "rashes": "rash"}}, {"normalize": True, "cutoff": 0.8}])
+def test_rules_equal_the_model(spark, name, limits, matching):
+    for records in (RECORDS, random_records(1)):
+        assert engine(spark, name, records, matching, **limits) == model(name, records, matching, **limits)
+
+
+def test_made_records_give_what_they_were_made_for(spark):
+    assert [(h[0], h[5], h[6], h[7]) for h in engine(spark, "cadence", RECORDS, {}, least=4, ratio=2.0)] == [(3, 10, 79, "2026-02-20"), (4, 30, 7, "2026-04-01")]
+    assert [(h[0], h[5]) for h in engine(spark, "frequency", RECORDS, {}, days=30, least=3)] == [(3, 3), (4, 4), (5, 3)]
+    assert engine(spark, "gap", RECORDS, {}, days=79) == [] and len(engine(spark, "gap", RECORDS, {}, days=78)) == 1
+    merged = engine(spark, "recurrence", RECORDS, {"normalize": True}, least=2)
+    assert ("strasse", ["STRASSE", "straße"]) in [(h[1], h[4]) for h in merged]
+
+
+def test_hits_do_not_depend_on_other_records_order_or_partitions(spark):
+    records = random_records(3)
+    for name, limits in RUNS:
+        whole = engine(spark, name, records, {}, **limits)
+        assert engine(spark, name, records[:5], {}, **limits) == [h for h in whole if h[0] < 5]
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert engine(spark, name, records[::-1], {}, **limits) == whole
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_shifting_all_dates_keeps_counts_and_intervals(spark):
+    records = [(s, i, [(str(parse(d) + datetime.timedelta(200)) if parse(d or "") else d, x, t) for d, x, t in e]) for s, i, e in random_records(4)]
+    for name, limits in (RUNS[1], RUNS[3]):
+        at = slice(5, 7) if name == "cadence" else slice(5, 6)
+        assert sorted((h[0], h[1], h[at]) for h in engine(spark, name, records, {}, **limits)) == sorted((h[0], h[1], h[at]) for h in engine(spark, name, random_records(4), {}, **limits))
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        lambda o: rules.recurrence(o, 0),
+        lambda o: rules.gap(o, -1),
+        lambda o: rules.gap(o, True),
+        lambda o: rules.frequency(o, -1),
+        lambda o: rules.frequency(o, 30, 1),
+        lambda o: rules.cooccurrence(o, 0),
+        lambda o: rules.cooccurrence(o, 2, -1),
+        lambda o: rules.cadence(o, 1),
+        lambda o: rules.cadence(o, 4, 0.5),
+        lambda o: Matching(fuzzy_cutoff=1.5),
+    ],
+)
+def test_bad_thresholds_raise_before_anything_runs(call):
+    with pytest.raises(ValueError):
+        call(None)
+
+
+def test_first_alike_is_not_transitive():
+    assert first_alike(["abcd", "abce", "abfe"], 0.75) == {"abcd": "abcd", "abce": "abcd", "abfe": "abfe"}
+
+
+def test_report_merges_records_of_one_id_and_omits_empty_ones(spark):
+    occ = occurrences(unnested(spark.createDataFrame(RECORDS, SCHEMA)))
+    found = report.findings(occ)
+    text = report.text(found)
+    assert text.split("\n\n")[0].split("\n") == [
+        "Record A:",
+        '  [recurrence] "poor sleep" recurred 3 times — 2026-01-10, 2026-02-02, 2026-03-01',
+        '  [recurrence] "ache" recurred 2 times — 2026-03-05, 2026-03-09',
+        '  [recurrence] "cough" recurred 3 times — 2026-03-05, 2026-03-05, 2026-03-09',
+        '  [frequency] "cough" appeared 3 times within 4 days — 2026-03-05, 2026-03-05, 2026-03-09',
+        '  [co-occurrence] "ache" + "cough" co-occurred 2 times — 2026-03-05, 2026-03-09',
+    ]
+    assert "Record G:" not in text and '[cadence-change] "dose" interval changed from ~30d to ~7d at 2026-04-01' in text
+    lines = [r.line for r in report.ordered(found).collect()]
+    assert len(lines) == sum(r.n for r in report.lens_counts(found).collect())
+    for word in ("because", "caus", "risk", "sever", "worse", "better", "score", "rank"):
+        assert word not in text.lower()
+    merged = occurrences(unnested(spark.createDataFrame(RECORDS, SCHEMA)), Matching(normalize=True))
+    line = rules.recurrence(merged).where("key = 'poor sleep' and record_seq = 1").select(report.recurrence_line().alias("l")).first().l
+    assert line == '"Poor  Sleep " recurred 2 times — 2026-01-10, 2026-02-02 [merged: "Poor  Sleep ", "poor sleep"]'
+    window = rules.cooccurrence(occ, 2, 4).select(report.with_record(report.cooccurrence_line()).alias("l")).collect()
+    assert 'Record A: "ache" + "cough" co-occurred 2 times within 4 days — (2026-03-05 ~ 2026-03-05: 0d), (2026-03-09 ~ 2026-03-09: 0d)' in [r.l for r in window]
+
+
+@pytest.mark.parametrize("rule", [lambda o: rules.gap(o, 10), rules.frequency, lambda o: rules.cadence(o, 4, 1.0)])
+def test_rules_over_one_pair_deal_occurrences_out_once(spark, rule):
+    table = spark.range(100).selectExpr("id % 5 as r", "concat('x', id % 3) as i", "date_add(date'2026-01-01', cast(id as int)) as d", "id")
+    hits = rule(occurrences(sources.rows(table, "r", "i", "d", "id")))
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = set(re.findall(r"ENSURE_REQUIREMENTS|REPARTITION_BY_COL", plan))
+    assert shuffles == {"REPARTITION_BY_COL"}
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_dirty_json_lines_never_raise(spark, tmp_path):
+    lines = ['{"id": "a", "entries": [{"date": "2026-01-01", "item": "x"}, 5, null, {"item": 7}, {"date": 3}]}', "[]", "not json", '{"entries": "no"}', '{"id": 9}', ""]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    rows = unnested(sources.json_lines(spark, str(tmp_path / "r.json"))).select("record_id", "original", "date_str").collect()
+    assert sorted(map(tuple, rows)) == [("a", "7", ""), ("a", "x", "2026-01-01")]
+
+
+def test_counts_of_a_plain_table_do_not_need_nesting(spark):
+    table = spark.createDataFrame([(1, "x", None, 1), (1, "x", datetime.datetime(2026, 1, 1, 23), 2), (None, "x", None, 3), (1, "", None, 4)], "r long, i string, d timestamp, t long")
+    rows = sources.rows(table, "r", "i", "d", F.col("t") * 2).orderBy("idx").collect()
+    assert [(r.record_id, r.date_str, r.idx) for r in rows] == [("1", "", 2), ("1", "2026-01-01", 4)]

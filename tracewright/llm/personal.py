@@ -158,17 +158,17 @@ def _applied(docs: DataFrame, make, schema) -> DataFrame:
 
     def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(set(_hashed([x[0] for x in occurrences(t, base_spans(t)) if x[0]]).tolist())) for t in strings(batch.column("text")).to_pylist()]
-        return pa.record_batch({"key": batch.column("key"), "patterns": pa.array(found, pa.list_(pa.int64()))})
+        return pa.record_batch({"__key": batch.column("__key"), "patterns": pa.array(found, pa.list_(pa.int64()))})
 
-    keyed = docs.withColumn("key", F.to_json(key))
-    own = keyed.select("key", "text").mapInArrow(lambda batches: by_text(batches, "text", seen), "key string, patterns array<long>")
-    own = own.select("key", F.explode("patterns").alias("pattern")).join(trusted, "pattern").groupBy("key").agg(F.collect_set("pattern").alias("trusted"))
+    keyed = docs.withColumn("__key", F.to_json(key))
+    own = keyed.select("__key", "text").mapInArrow(lambda batches: by_text(batches, "text", seen), "__key string, patterns array<long>")
+    own = own.select("__key", F.explode("patterns").alias("pattern")).join(trusted, "pattern").groupBy("__key").agg(F.collect_set("pattern").alias("__trusted"))
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(strings(batch.column("text")).to_pylist(), batch.column("trusted").to_pylist())
-        return make(batch.drop_columns(["key", "trusted"]), [_spans(t, frozenset(p or ())) for t, p in rows])
+        rows = zip(strings(batch.column("text")).to_pylist(), batch.column("__trusted").to_pylist())
+        return make(batch.drop_columns(["__key", "__trusted"]), [_spans(t, frozenset(p or ())) for t, p in rows])
 
-    return keyed.join(own, "key", "left").mapInArrow(lambda batches: by_text(batches, "text", joined), schema)
+    return keyed.join(own, "__key", "left").mapInArrow(lambda batches: by_text(batches, "text", joined), schema)
 
 
 def found(docs: DataFrame) -> DataFrame:

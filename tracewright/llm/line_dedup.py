@@ -1,23 +1,25 @@
 """Operator 2: removal of repeated passages by winnowing over line hashes. DataFrame functions only.
 
-A passage may begin anywhere in a line, so lines are cut further at places that their content fixes (after punctuation or
-certain word endings): the same passage is cut alike wherever it stands. Runs of `gram` pieces are hashed. Of every `window`
-consecutive hashes the least is a fingerprint; so any two copies of a run of gram + window - 1 pieces share one at the same
-place in the run. Fingerprints that stand in more than one place are matches; each is extended both ways over the
-`window - 1` grams before and after it, which reach the next fingerprint, so that all grams of a repeated run are compared.
-A gram with an earlier occurrence (lower doc_id, or earlier in the same document) marks its pieces; a run of marked pieces
-with `least_words` words or more is deleted. The earliest occurrence always stays.
+A passage may begin anywhere in a line, so lines are cut further after punctuation: the same passage is cut alike wherever
+it stands, but for its first and last piece. Hashes of `gram` consecutive pieces are winnowed: of every `window` consecutive
+hashes the least is a fingerprint; so any two copies of a run of gram + window - 1 pieces share one at the same place in the
+run. Fingerprints that stand in more than one place are matches; each is extended both ways over the `window - 1` grams
+before and after it, which reach the next fingerprint, so that all grams of a repeated run are compared. A gram with an
+earlier occurrence (lower doc_id, or earlier in the same document) marks its pieces; a run of marked pieces with
+`least_words` words or more is deleted. The earliest occurrence always stays.
 
 Grams are joined with their first occurrence alone, never with each other, and are aggregated before they are shuffled, so
 a passage in a third of all documents costs no more than its occurrences. Texts aren't shuffled, but for those that change.
 
 Defined results: null text stays null; an empty text stays empty; a document all of whose text stands earlier becomes empty.
-Pieces are compared without white space at their end. Rows of one doc_id are one document with equal text (repeated rows
-stay alike); rows of null doc_id are kept as they are. Ties of hashes in a window select all of them. Other columns stay.
+Rows of one doc_id are one document with equal text (repeated rows stay alike); rows of null doc_id are kept as they are.
+Equal hashes in a window are all selected. Fewer grams than a window are all selected. Other columns stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -25,73 +27,68 @@ from pyspark.sql import functions as F
 from tracewright.llm.near_duplicates import only
 from tracewright.llm.shared import let, staged
 
-GRAM, WINDOW, LEAST_WORDS = 4, 6, 30
-#: A piece ends at a line's end, and at a word that ends with one of these.
-ENDINGS = "dghmpsyDGHMPSYаеийюяοςう"
-_CUT = rf"(?<=\n)(?=\S)|(?<=[{ENDINGS}\p{{Punct}}。、][ \t])(?=\S)"
+GRAM, WINDOW, LEAST_WORDS = 2, 3, 25
+#: A piece ends before a line's end, and before white space after punctuation (but not after a row of exclamation marks).
+_CUT = r"(?=\n)|(?=[ \t])(?<=[.?;:,]|[^!]!)|(?<=[。！？、])"
 
 
 def _pieces(text: Column) -> Column:
+    """The pieces; white space between two belongs to the second."""
     return F.split(text, _CUT, -1)
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(_pieces(text), lambda s: F.xxhash64(F.rtrim(s, F.lit(" \t\r\n"))))
+def _grams(pieces: Column, gram: int) -> Column:
+    """Hash of each run of gram pieces, by its first piece; none of fewer pieces."""
 
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes) - gram + 1
+        runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(gram))))
+        return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
 
-def _grams(hashes: Column, gram: int) -> Column:
-    """Hash of each run of gram pieces; none of fewer pieces."""
-    n = F.size(hashes) - gram + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, gram)))).otherwise(F.array().cast("array<long>"))
+    return let(F.transform(pieces, lambda s: F.xxhash64(s)), of)
 
 
 def _selected(grams: Column, window: int) -> Column:
-    """(pos, h) of the window minima; pos from 1. Fewer grams than a window are one window."""
-    n = F.size(grams)
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    least = F.transform(starts, lambda i: F.array_min(F.slice(grams, i, window)))
-
-    def chosen(least: Column) -> Column:
-        placed = F.transform(grams, lambda h, i: F.struct((i + 1).alias("pos"), h.alias("h")))
+    """(pos, h) of the window minima; pos from 0."""
 
-        def is_least(x: Column) -> Column:
-            first = F.greatest(x["pos"] - window + 1, F.lit(1))
-            first = F.least(first, F.size(least))
-            return F.array_max(F.slice(least, first, F.greatest(F.least(x["pos"], F.size(least)) - first + 1, F.lit(1)))) == x["h"]
+    def is_least(h: Column, i: Column) -> Column:
+        windows = []
+        for back in range(window):
+            others = [h <= F.get(grams, i + k) for k in range(-back, window - back) if k]
+            windows.append((i >= back) & reduce(lambda x, y: x & y, others, F.lit(True)))
+        return (F.size(grams) < window) | F.coalesce(reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in windows]), F.lit(False))
 
-        return F.filter(placed, is_least)
-
-    return F.when(n > 0, let(least, chosen))
+    marked = F.transform(grams, lambda h, i: F.when(is_least(h, i), F.struct(i.alias("pos"), h.alias("h"))))
+    return F.filter(marked, lambda x: x.isNotNull())
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(doc_id, pos, h): the fingerprints of docs (doc_id, text)."""
-    chosen = let(_hashes(F.col("text")), lambda hs: let(_grams(hs, gram), lambda g: _selected(g, window)))
-    return docs.select("doc_id", F.explode(chosen).alias("at")).select("doc_id", "at.pos", "at.h")
+    chosen = let(_grams(_pieces(F.col("text")), gram), lambda g: _selected(g, window))
+    return docs.select("doc_id", F.inline(chosen))
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 1) of each."""
+    """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 0) of each."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    prints = fingerprints(docs, gram, window)
-    place = F.struct("doc_id", "pos")
-    twice = prints.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+    prints = staged(fingerprints(docs, gram, window))
+    twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     matched = staged(prints.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    near = F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(1)), p + window - 1)))
+    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), p + window - 1))))
 
-    def extended(pieces: Column) -> Column:
-        hashes = F.transform(pieces, lambda s: F.xxhash64(F.rtrim(s, F.lit(" \t\r\n"))))
-        words = lambda s: F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " "))
+    def words(piece: Column) -> Column:
+        return F.size(F.filter(F.split(piece, r"\s+", -1), lambda w: w != ""))
 
-        def of(hs: Column) -> Column:
-            some = F.filter(F.array_distinct(near), lambda p: p + gram - 1 <= F.size(hs))
-            return F.transform(some, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(hs, p, gram)).alias("h"), F.transform(F.slice(pieces, p, gram), words).alias("words")))
+    def extended(pieces: Column) -> Column:
+        def of(grams: Column) -> Column:
+            some = F.filter(near, lambda p: p < F.size(grams))
+            return F.transform(some, lambda p: F.struct(p.alias("pos"), F.get(grams, p).alias("h"), F.transform(F.slice(pieces, p + 1, gram), words).alias("words")))
 
-        return let(hashes, of)
+        return let(_grams(pieces, gram), of)
 
-    some = only(docs, matched.select("doc_id")).dropDuplicates(["doc_id"])
-    grams = some.join(matched, "doc_id").select("doc_id", F.explode(let(_pieces(F.col("text")), extended)).alias("at")).select("doc_id", "at.*")
-    grams = staged(grams)
+    place = F.struct("doc_id", "pos")
+    some = only(docs, matched.select("doc_id"))
+    grams = staged(some.join(matched, "doc_id").select("doc_id", F.inline(let(_pieces(F.col("text")), extended))))
     first = grams.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
     later = grams.join(first, "h").where(place > F.col("first"))
     marked = later.select("doc_id", "pos", F.posexplode("words").alias("k", "n")).select("doc_id", (F.col("pos") + F.col("k")).alias("piece"), "n").distinct()
@@ -102,12 +99,12 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least
 
 def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) without later repeated runs; n_chars, if there, follows."""
-    runs = staged(repeated_runs(docs, gram, window, least_words).withColumnRenamed("runs", "_runs"))
+    runs = staged(repeated_runs(docs, gram, window, least_words).withColumnRenamed("runs", "__repeated_runs"))
 
     def rebuilt(pieces: Column) -> Column:
-        gone = F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"])))
-        left = F.array_except(F.sequence(F.lit(1), F.size(pieces)), gone)
-        return F.array_join(F.transform(left, lambda i: F.element_at(pieces, i)), "")
+        gone = F.flatten(F.transform("__repeated_runs", lambda r: F.sequence(r["first"], r["last"])))
+        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
 
     changed = only(docs, runs.select("doc_id")).join(runs, "doc_id").withColumn("text", let(_pieces(F.col("text")), rebuilt)).select(docs.columns)
     if "n_chars" in docs.columns:

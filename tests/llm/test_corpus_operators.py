@@ -137,7 +137,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def pieces(text):
-    return re.split(r"(?=\n)|(?=[ \t])(?<=[.?;:,])|(?=[ \t])(?<=[^!]!)|(?<=[。！？、])", text)
+    return re.split(r"(?=\n)|(?=[ \t⺀-鿿가-힯])(?<=[.?;:,。！？、])|(?=[ \t⺀-鿿가-힯])(?<=[^!]!)", text)
 
 
 def bounds(rows):

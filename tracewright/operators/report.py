@@ -87,7 +87,6 @@ LENSES = (
 def findings(occ: DataFrame, lenses: tuple[Lens, ...] = LENSES) -> DataFrame:
     """(record_id, lens_ord, lens, record_seq, hit_ord, line) of all lenses at their default thresholds. hit_ord sorts hits
     of one record and lens."""
-    occ = occ.repartition(*rules.PAIR)
     parts = []
     for at, lens in enumerate(lenses):
         hits = lens.rule(occ)

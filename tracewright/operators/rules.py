@@ -1,7 +1,9 @@
 """The five rules over occurrences. Each gives one row for each hit, and counts; none ranks or judges.
 
-Rules that need an order within (record, key) deal the occurrences out by that pair once; windows, sums and the join with
-the names all reuse this partitioning. All thresholds are checked before a plan is built.
+Gap, frequency and cadence need no more than how many occurrences an item has on each day, so occurrences are counted by
+day before they are shuffled: however often one item of one record occurs, its window holds no more rows than there are
+days. Names are counted by spelling in the same way, and co-occurrence takes distinct days. All thresholds are checked before
+a plan is built.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ def _whole(name: str, value: int, least: int) -> None:
         raise ValueError(f"{name} must be an integer of {least} or more, got {value!r}")
 
 
+def _days(occ: DataFrame) -> DataFrame:
+    """(record_seq, key, day, n): how often each item occurs on each day."""
+    return occ.where("day is not null").groupBy(*PAIR, "day").agg(F.count("*").alias("n"))
+
+
 def _with_names(hits: DataFrame, occ: DataFrame) -> DataFrame:
     return hits.join(named(occ), PAIR)
 
@@ -42,9 +49,8 @@ def gap(occ: DataFrame, gap_days: int = 90) -> DataFrame:
     """(record_seq, key, record_id, item, gap_days, before_date, after_date, variants): consecutive dated occurrences more
     than gap_days apart."""
     _whole("gap_days", gap_days, 0)
-    occ = occ.repartition(*PAIR)
-    order = Over.partitionBy(*PAIR).orderBy("day", "idx")
-    steps = occ.where("day is not null").select(*PAIR, F.lag("day").over(order).alias("last"), "day")
+    order = Over.partitionBy(*PAIR).orderBy("day")
+    steps = _days(occ).select(*PAIR, F.lag("day").over(order).alias("last"), "day")
     hits = steps.withColumn("gap_days", F.datediff("day", "last")).where(F.col("gap_days") > gap_days)
     return _with_names(hits.select(*PAIR, "gap_days", F.col("last").cast("string").alias("before_date"), F.col("day").cast("string").alias("after_date")), occ)
 
@@ -54,13 +60,13 @@ def frequency(occ: DataFrame, window_days: int = 30, min_count: int = 3) -> Data
     stretch of at most window_days between first and last occurrence, the earliest if several are as full."""
     _whole("window_days", window_days, 0)
     _whole("min_count", min_count, 2)
-    occ = occ.repartition(*PAIR)
     number = F.unix_date("day")
     back = Over.partitionBy(*PAIR).orderBy(number).rangeBetween(-window_days, 0)
-    rows = occ.where("day is not null").select(*PAIR, "day", F.count("*").over(back).alias("n"), F.min("day").over(back).alias("low"))
-    best = rows.groupBy(PAIR).agg(F.max_by(F.struct("low", "day", "n"), F.struct("n", -number)).alias("best"), F.array_sort(F.collect_list("day")).alias("days"))
+    rows = _days(occ).select(*PAIR, "day", F.col("n").alias("here"), F.sum("n").over(back).alias("n"), F.min("day").over(back).alias("low"))
+    best = rows.groupBy(PAIR).agg(F.max_by(F.struct("low", "day", "n"), F.struct("n", -number)).alias("best"), F.array_sort(F.collect_list(F.struct("day", "here"))).alias("days"))
     best = best.where(F.col("best.n") >= min_count)
-    dates = F.transform(F.filter("days", lambda d: d.between(F.col("best.low"), F.col("best.day"))), lambda d: d.cast("string"))
+    inside = F.filter("days", lambda d: d["day"].between(F.col("best.low"), F.col("best.day")))
+    dates = F.flatten(F.transform(inside, lambda d: F.array_repeat(d["day"].cast("string"), d["here"].cast("int"))))
     return _with_names(best.select(*PAIR, F.col("best.n").alias("count"), F.col("best.low").cast("string").alias("window_start"), F.col("best.day").cast("string").alias("window_end"), dates.alias("dates")), occ)
 
 
@@ -114,10 +120,9 @@ def cadence(occ: DataFrame, min_occurrences: int = 4, ratio: float = 2.0) -> Dat
     _whole("min_occurrences", min_occurrences, 2)
     if ratio < 1:
         raise ValueError(f"ratio must be 1 or more, got {ratio!r}")
-    occ = occ.repartition(*PAIR)
     group = Over.partitionBy(*PAIR)
     order = group.orderBy("day")
-    days = occ.where("day is not null").select(*PAIR, "day").distinct()
+    days = _days(occ).select(*PAIR, "day")
     steps = days.select(*PAIR, "day", F.lead("day").over(order).alias("next"), F.row_number().over(order).alias("k"), F.count("*").over(group).alias("n"))
     steps = steps.where((F.col("n") >= min_occurrences) & F.col("next").isNotNull()).withColumn("gap", F.datediff("next", "day"))
     size = group.orderBy("gap")

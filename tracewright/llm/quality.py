@@ -1,15 +1,16 @@
 """Operator 8: quality rules from tokeniser fertility.
 
 A public piece vocabulary with byte fallback measures each document: characters per token, the share of tokens that are
-fallback bytes, and the entropy of its tokens (bits, divided by the most that so many tokens can have). For each script, the
-quartiles of the corpus give rejection bands, so that a script the vocabulary splits finely is compared with itself:
-a document is rejected if a measure lies further than `width` interquartile ranges (and at least a fixed margin) outside.
-Documents of few words fail the plain rules first: fewer than 50 words, or more than half of the words in repeated 3-word
-windows.
-
-Defined results: null text: no words, which fails. A text without a letter is of script `none`. Scripts of fewer than
-`least` documents take the bands of the whole corpus. A document without tokens has measures 0. Repeated rows count and
-are returned once each. An empty table gives no rows.
+fallback bytes, and the entropy of its tokens (bits, divided by the most that so many tokens can have). The quartiles of the
+corpus give rejection bands for each language (as labelled, within a script), so that what the vocabulary splits finely is
+compared with its like: a document is rejected if a measure lies more than `width` interquartile ranges (and at least a
+small margin) outside the quartiles. Measures of short texts scatter, so below `settled` words a band widens with the root
+of settled / words. Documents of few words fail the plain rules first: fewer than 50 words, or more than half of the words
+in repeated 3-word windows.
+
+Defined results: null text: no words, which fails. A text without a letter is of script `none`. Languages of fewer than
+`least` documents, and null ones, take their script's bands, scripts of fewer the whole corpus's. A document without tokens
+has measures 0. Repeated rows count and are returned once each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from tracewright.llm import words as W
 from tracewright.llm.shared import by_text, staged, strings
 
-MEASURES = {"chars_per_token": 1.0, "fallback_share": 0.1, "token_entropy": 0.15}
+#: Measures and the least margin of their bands.
+MEASURES = {"chars_per_token": 0.1, "fallback_share": 0.02, "token_entropy": 0.05}
+#: Bands up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_BANDS = 10_000
 SCRIPTS = {
     "latin": "A-Za-zÀ-ɏḀ-ỿ",
     "cyrillic": "Ѐ-ԯ",
@@ -106,34 +110,35 @@ def _measure(path: str):
             rates.append(len(text) / len(ids))
             shares.append(float(is_byte[ids].mean()))
             entropies.append(float(-(counts / len(ids) * np.log2(counts / len(ids))).sum() / np.log2(max(2, min(len(ids), len(is_byte))))))
-        columns = {"doc_id": batch.column("doc_id"), **{k: pa.array(v.astype(np.int64)) for k, v in out.items()}, "script": pa.array([script(t) for t in texts], pa.string())}
+        columns = {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), **{k: pa.array(v.astype(np.int64)) for k, v in out.items()}, "script": pa.array([script(t) for t in texts], pa.string())}
         return pa.record_batch(columns | {"chars_per_token": pa.array(rates, pa.float64()), "fallback_share": pa.array(shares, pa.float64()), "token_entropy": pa.array(entropies, pa.float64())})
 
     return lambda batches: by_text(batches, "text", work)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, fallback_share double, token_entropy double"
+SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, fallback_share double, token_entropy double"
 
 
-def judged(docs: DataFrame, vocabulary: str, width: float = 6.0, least: int = 100) -> DataFrame:
-    """Counts, measures, base_failed, outside (names of measures outside their band) and kept of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def judged(docs: DataFrame, vocabulary: str, width: float = 3.0, settled: int = 400, least: int = 100) -> DataFrame:
+    """Counts, measures, base_failed, outside (names of measures outside their band) and kept of docs (doc_id, text; lang if
+    there is one)."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     measured = staged(docs.mapInArrow(_measure(vocabulary), SCHEMA))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    quartiles = [F.percentile_approx(m, F.lit([0.25, 0.75]), 1000).alias(m) for m in MEASURES]
-    whole = measured.where(~failed).agg(*quartiles).first()
-    bands = {r["script"]: r for r in measured.where(~failed).groupBy("script").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least).collect()}
+    quartiles = F.struct(*(F.percentile_approx(m, F.lit([0.25, 0.75]), 1000).alias(m) for m in MEASURES))
+    good = measured.where(~failed)
+    whole = good.agg(quartiles.alias("band")).first()["band"]
+    rows = measured.withColumn("band0", F.struct(*(F.array(*(F.lit(x).cast("double") for x in whole[m] or (None, None))).alias(m) for m in MEASURES)))
+    for at, keys in enumerate((["script"], ["script", "lang"]), 1):
+        bands = staged(good.where(F.col(keys[-1]).isNotNull()).groupBy(keys).agg(F.count("*").alias("_n"), quartiles.alias(f"band{at}")).where(F.col("_n") >= least).drop("_n"))
+        rows = rows.join(F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands, keys, "left")
+    rows = rows.withColumn("band", F.coalesce("band2", "band1", "band0"))
+    wider = F.greatest(F.lit(1.0), F.sqrt(settled / F.greatest(F.col("n_words"), F.lit(1))))
     outside = []
     for m, margin in MEASURES.items():
-
-        def beyond(band, m=m, margin=margin):
-            if band is None or band[m] is None:
-                return F.lit(False)
-            reach = max(margin, width * (band[m][1] - band[m][0]))
-            return (F.col(m) < band[m][0] - reach) | (F.col(m) > band[m][1] + reach)
-
-        rule = beyond(whole)
-        for name in sorted(bands):
-            rule = F.when(F.col("script") == name, beyond(bands[name])).otherwise(rule)
-        outside.append(F.when(rule, F.lit(m)))
-    return measured.withColumn("base_failed", failed).withColumn("outside", F.array_compact(F.array(*outside))).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
+        low, high = F.col(f"band.{m}")[0], F.col(f"band.{m}")[1]
+        reach = F.greatest(F.lit(margin), width * (high - low) * wider)
+        outside.append(F.when((F.col(m) < low - reach) | (F.col(m) > high + reach), F.lit(m)))
+    rows = rows.withColumn("base_failed", failed).withColumn("outside", F.array_compact(F.array(*outside)))
+    return rows.drop("band", "band0", "band1", "band2").withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))

@@ -73,7 +73,8 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least
     """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 0) of each."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     prints = staged(fingerprints(docs, gram, window))
-    twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # what a hot hash is joined with is staged, so that both sides come from shuffles and the hot one can be split
+    twice = staged(prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     matched = staged(prints.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), p + window - 1))))
 
@@ -90,7 +91,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least
     place = F.struct("doc_id", "pos")
     some = only(docs, matched.select("doc_id"))
     grams = staged(some.join(matched, "doc_id").select("doc_id", F.inline(let(_pieces(F.col("text")), extended))))
-    first = grams.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    first = staged(grams.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
     later = grams.join(first, "h").where(place > F.col("first"))
     marked = later.select("doc_id", "pos", F.posexplode("words").alias("k", "n")).select("doc_id", (F.col("pos") + F.col("k")).alias("piece"), "n").distinct()
     run = F.col("piece") - F.row_number().over(Over.partitionBy("doc_id").orderBy("piece"))

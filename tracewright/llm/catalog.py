@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, fingerprint, language, licenses, line_dedup, packing, personal, quality, toxicity
+from tracewright.llm import bpe, fingerprint, language, licenses, line_dedup, oracles, packing, personal, quality, toxicity
 from tracewright.llm.near_duplicates import near_duplicates
 from tracewright.llm.shared import table
 
@@ -106,4 +106,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_licenses": oracles.licenses(), "op10_near_duplicates": oracles.near_duplicates()}

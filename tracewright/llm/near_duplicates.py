@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     copies = staged(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = staged(filled.join(copies, "set_key").where("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles", "bands", "sketch"))
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
+    # staged, so that the join below reads both sides from shuffles and a hot bucket's rows can be split
+    shared = staged(members.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead"))
     members = staged(members.join(shared, "bucket").groupBy("lead", "id").count())
     best = members.where("lead < id").groupBy("id").agg(F.min_by("lead", F.struct(-F.col("count"), "lead")).alias("lead"))
     texts = staged(only(docs, members.select("id")).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"))
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     grouped = members.select("lead", "id").join(components(links), "id", "left").select("lead", "id", F.coalesce("comp", "id").alias("comp"))
     grouped = grouped.join(reps.select("id", "n_shingles"), "id")
     mixed = grouped.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("low < high")
-    mixed = mixed.select("lead", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mixed = staged(mixed.select("lead", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     open_rows = staged(grouped.join(mixed, "lead").select("lead", "id", "comp", "blocks"))
     sets = only(texts, open_rows.select("id"), "id").mapInArrow(_shingles(shingle_words), "id long, shingles binary")
     rows = open_rows.join(reps.select("id", "sketch"), "id").join(sets.dropDuplicates(["id"]), "id")
@@ -254,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: tuple[i
     sides = sides.select("lead", "id", "comp", "sketch", "shingles", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), F.expr("if(own <= with, 0, 1)").alias("side"))
     joined = staged(sides.groupBy("lead", "p", "q").applyInPandas(_block_links(floor, least, of), "a long, b long"))
     labels = components(links.union(joined))
-    comp = filled.join(copies, "set_key").select("doc_id", "set_key", "rep").distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    comp = filled.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     comp = comp.groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
     out = prints.select("doc_id", "n_shingles").join(comp, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -124,9 +124,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trusted_patterns(docs: DataFrame) -> DataFrame:
     """(pattern) hashes of the lexical patterns that the corpus makes trustworthy."""
-    edges = docs.select("text").mapInArrow(_edges, "pattern long, instance long, seed double").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = staged(docs.select("text").mapInArrow(_edges, "pattern long, instance long, seed double").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")).where((F.col("n") >= SUPPORT) & (F.col("seeds") >= SEEDS))
-    edges = staged(edges.join(wide.select("pattern"), "pattern"))
+    edges = staged(edges.join(staged(wide.select("pattern")), "pattern"))
     scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     for _ in range(TURNS):
         patterns = staged(edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("trust")))

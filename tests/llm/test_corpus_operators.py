@@ -205,6 +205,36 @@ def test_line_dedup_runs_no_python(docs):
     assert not re.search("Python|Pandas|Arrow", plan.replace("spark.sql.execution.arrow", ""))
 
 
+def without_later_runs(rows, least):
+    """Texts without the words of runs of least words that stand earlier, whatever white space is between them."""
+    seen, out = {}, {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        parts = re.split(r"(?<=[^ \t-\r])(?=[ \t-\r]+[^ \t-\r])", text or "")
+        w = [x.strip(" \t\n\x0b\f\r") for x in parts]
+        gone = set()
+        for i in range(len(w) - least + 1):
+            if seen.setdefault(tuple(w[i : i + least]), (d, i)) < (d, i):
+                gone.update(range(i, i + least))
+        out[d] = None if text is None else "".join(x for i, x in enumerate(parts) if i not in gone)
+    return out
+
+
+def test_line_dedup_by_words_deletes_what_stands_earlier_and_nothing_else(spark, docs, corpus, none):
+    rng = random.Random(12)
+    made = lambda n, ends=("",): [f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}{rng.choice(ends)}" for _ in range(n)]
+    plain, two = made(51), [*made(30), "end.", *made(28), "end.", *made(29)]
+    rows = [(1, " ".join(plain)), (2, " ".join(two)), (3, " ".join([*made(9), *plain, *made(9)])), (4, " ".join([*made(7), *two, *made(7)])), (5, "\n".join(plain[:25])), (6, " ".join(plain[:24]))]
+    rows += [(7, " \n" + " ".join(made(3) + plain[9:40]) + "  "), (8, "same " * 80), (9, None), (10, ""), (11, " \n")]
+    rows += [(20 + i, " ".join(rng.choice(["x", "y."]) for _ in range(rng.randint(0, 60)))) for i in range(30)]
+    for table, source in ((spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows), (docs, [(r[0], r[1]) for r in corpus])):
+        got = {r.doc_id: r.text for r in line_dedup.without_repeats(table, by_words=True).collect()}
+        assert got == without_later_runs(dict(source).items(), line_dedup.LEAST_WORDS)
+    queried = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert queried[3].split() == rows[2][1].split()[:9] + rows[2][1].split()[-9:] and queried[5] == "" and len(queried[6].split()) == 24
+    assert line_dedup.without_repeats(none, by_words=True).collect() == []
+    assert not re.search("Python|Pandas|ArrowEval", line_dedup.without_repeats(docs, by_words=True)._jdf.queryExecution().toString())
+
+
 # fingerprints
 
 

@@ -19,7 +19,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs, and how many characters went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars_before"))
-    rows = line_dedup.without_repeats(docs)
+    rows = line_dedup.without_repeats(docs, by_words=True)
     return rows.select("doc_id", "chars_before", (F.col("chars_before") - F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars_removed"), "text")
 
 

@@ -8,6 +8,11 @@ before and after it, which reach the next fingerprint, so that all grams of a re
 earlier occurrence (lower doc_id, or earlier in the same document) marks its pieces; a run of marked pieces with
 `least_words` words or more is deleted. The earliest occurrence always stays.
 
+By words (`by_words`), which op2 and the pipeline use, the pieces are single words, whatever the punctuation: a run of
+`least_words` words that stands earlier is always found and deleted, whatever white space stands between its words, and
+nothing else is. Half as long grams of words are winnowed by half as long windows, so each such run has a fingerprint in
+all its copies; runs of least_words words around matches are then compared themselves.
+
 Grams are joined with their first occurrence alone, never with each other, and are aggregated before they are shuffled, so
 a passage in a third of all documents costs no more than its occurrences. Texts aren't shuffled, but for those that change.
 
@@ -18,7 +23,7 @@ Equal hashes in a window are all selected. Fewer grams than a window are all sel
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
@@ -30,15 +35,23 @@ from tracewright.llm.shared import let, staged
 GRAM, WINDOW, LEAST_WORDS = 2, 3, 25
 #: A piece ends before a line's end, and after punctuation before white space or an ideograph or syllable (but not after a
 #: row of exclamation marks). The first look-ahead alone decides at nearly all places.
+#: Texts that are cut into words: white space before a word belongs to it, and after the last word to that.
+_WORD, _BLANKS, _BLANK = r"(?<=\S)(?=\s+\S)", r"\s+", " \t\n\x0b\f\r"
 _CUT = r"(?=[\n \t⺀-鿿가-힯])(?:(?<=[.?;:,。！？、])|(?=\n)|(?<=[^!]!))"
 
 
-def _pieces(text: Column) -> Column:
+def _pieces(text: Column, by_words: bool = False) -> Column:
     """The pieces; white space between two belongs to the second."""
-    return F.split(text, _CUT, -1)
+    return F.split(text, _WORD if by_words else _CUT, -1)
+
+
+def _hashed(text: Column, by_words: bool) -> Column:
+    """Hashes of the pieces; of words without the white space."""
+    parts = F.split(F.btrim(text, F.lit(_BLANK)), _BLANKS, -1) if by_words else _pieces(text)
+    return F.transform(parts, lambda s: F.xxhash64(s))
 
 
-def _grams(pieces: Column, gram: int) -> Column:
+def _grams(hashes: Column, gram: int) -> Column:
     """Hash of each run of gram pieces, by its first piece; none of fewer pieces."""
 
     def of(hashes: Column) -> Column:
@@ -46,37 +59,54 @@ def _grams(pieces: Column, gram: int) -> Column:
         runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(gram))))
         return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
 
-    return let(F.transform(pieces, lambda s: F.xxhash64(s)), of)
+    return let(hashes, of)
+
+
+def _sliding(values: Column, window: int, of: Callable[..., Column], body: Callable[[Column], Column], size: int = 1) -> Column:
+    """body(of the `window` values from each on), with ever longer stretches joined by twos; null stands for no value."""
+    if size == window:
+        return body(values)
+    step = min(size, window - size)
+    return let(F.transform(values, lambda x, i: of(x, F.get(values, i + step))), lambda v: _sliding(v, window, of, body, size + step))
 
 
 def _selected(grams: Column, window: int) -> Column:
     """(pos, h) of the window minima; pos from 0."""
 
-    def is_least(h: Column, i: Column) -> Column:
-        windows = []
-        for back in range(window):
-            others = [h <= F.get(grams, i + k) for k in range(-back, window - back) if k]
-            windows.append((i >= back) & reduce(lambda x, y: x & y, others, F.lit(True)))
-        return (F.size(grams) < window) | F.coalesce(reduce(lambda x, y: x | y, [F.coalesce(w, F.lit(False)) for w in windows]), F.lit(False))
+    def of_windows(least: Column) -> Column:
+        whole = F.slice(least, 1, F.greatest(F.size(grams) - window + 1, F.lit(0)))
+        spread = F.concat(F.array_repeat(F.lit(None).cast("long"), window - 1), whole, F.array_repeat(F.lit(None).cast("long"), window - 1))
+        return let(spread, lambda v: _sliding(v, window, F.greatest, chosen))
+
+    def chosen(most: Column) -> Column:
+        # a hash is the least of a window around it if the greatest of these windows' least is it
+        marked = F.transform(grams, lambda h, i: F.when((F.size(grams) < window) | (h == F.get(most, i)), F.struct(i.alias("pos"), h.alias("h"))))
+        return F.filter(marked, lambda x: x.isNotNull())
 
-    marked = F.transform(grams, lambda h, i: F.when(is_least(h, i), F.struct(i.alias("pos"), h.alias("h"))))
-    return F.filter(marked, lambda x: x.isNotNull())
+    return _sliding(grams, window, F.least, of_windows)
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _sizes(gram: int, window: int, least_words: int, by_words: bool) -> tuple[int, int]:
+    """(gram, window); by words, they are such that together they span least_words words."""
+    return (least_words - least_words // 2, least_words // 2 + 1) if by_words else (gram, window)
+
+
+def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, by_words: bool = False) -> DataFrame:
     """(doc_id, pos, h): the fingerprints of docs (doc_id, text)."""
-    chosen = let(_grams(_pieces(F.col("text")), gram), lambda g: _selected(g, window))
+    chosen = let(_grams(_hashed(F.col("text"), by_words), gram), lambda g: _selected(g, window))
     return docs.select("doc_id", F.inline(chosen))
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 0) of each."""
+def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS, by_words: bool = False) -> DataFrame:
+    """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 0) of each. By words, gram
+    and window follow from least_words, and runs may overlap."""
+    gram, window = _sizes(gram, window, least_words, by_words)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    prints = staged(fingerprints(docs, gram, window))
+    prints = staged(fingerprints(docs, gram, window, by_words))
     # what a hot hash is joined with is staged, so that both sides come from shuffles and the hot one can be split
     twice = staged(prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     matched = staged(prints.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), p + window - 1))))
+    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), p if by_words else p + window - 1))))
 
     def words(piece: Column) -> Column:
         return F.size(F.filter(F.split(piece, r"\s+", -1), lambda w: w != ""))
@@ -86,29 +116,40 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least
             some = F.filter(near, lambda p: p < F.size(grams))
             return F.transform(some, lambda p: F.struct(p.alias("pos"), F.get(grams, p).alias("h"), F.transform(F.slice(pieces, p + 1, gram), words).alias("words")))
 
-        return let(_grams(pieces, gram), of)
+        return let(_grams(F.transform(pieces, lambda s: F.xxhash64(s)), gram), of)
+
+    def spans(grams: Column) -> Column:
+        """Of the runs of gram + window - 1 words near matches: a run's first and last gram cover it."""
+        some = F.filter(near, lambda p: p + window - 1 < F.size(grams))
+        return F.transform(some, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.get(grams, p), F.get(grams, p + window - 1)).alias("h")))
 
     place = F.struct("doc_id", "pos")
     some = only(docs, matched.select("doc_id"))
-    grams = staged(some.join(matched, "doc_id").select("doc_id", F.inline(let(_pieces(F.col("text")), extended))))
+    compared = let(_grams(_hashed(F.col("text"), True), gram), spans) if by_words else let(_pieces(F.col("text")), extended)
+    grams = staged(some.join(matched, "doc_id").select("doc_id", F.inline(compared)))
     first = staged(grams.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
     later = grams.join(first, "h").where(place > F.col("first"))
-    marked = later.select("doc_id", "pos", F.posexplode("words").alias("k", "n")).select("doc_id", (F.col("pos") + F.col("k")).alias("piece"), "n").distinct()
-    run = F.col("piece") - F.row_number().over(Over.partitionBy("doc_id").orderBy("piece"))
-    runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("n").alias("words"))
-    return runs.where(F.col("words") >= least_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-
-
-def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    if by_words:
+        run = F.col("pos") - F.dense_rank().over(Over.partitionBy("doc_id").orderBy("pos"))
+        runs = later.select("doc_id", "pos", run.alias("run")).groupBy("doc_id", "run").agg(F.min("pos").alias("first"), (F.max("pos") + least_words - 1).alias("last"))
+    else:
+        marked = later.select("doc_id", "pos", F.posexplode("words").alias("k", "n")).select("doc_id", (F.col("pos") + F.col("k")).alias("piece"), "n").distinct()
+        run = F.col("piece") - F.row_number().over(Over.partitionBy("doc_id").orderBy("piece"))
+        runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("n").alias("words"))
+        runs = runs.where(F.col("words") >= least_words)
+    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS, by_words: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) without later repeated runs; n_chars, if there, follows."""
-    runs = staged(repeated_runs(docs, gram, window, least_words).withColumnRenamed("runs", "__repeated_runs"))
+    runs = staged(repeated_runs(docs, gram, window, least_words, by_words).withColumnRenamed("runs", "__repeated_runs"))
 
     def rebuilt(pieces: Column) -> Column:
         gone = F.flatten(F.transform("__repeated_runs", lambda r: F.sequence(r["first"], r["last"])))
         left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
 
-    changed = only(docs, runs.select("doc_id")).join(runs, "doc_id").withColumn("text", let(_pieces(F.col("text")), rebuilt)).select(docs.columns)
+    changed = only(docs, runs.select("doc_id")).join(runs, "doc_id").withColumn("text", let(_pieces(F.col("text"), by_words), rebuilt)).select(docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return only(docs, runs.select("doc_id"), how="left_anti").select(docs.columns).unionByName(changed)

@@ -280,6 +280,22 @@ def test_roots_equal_a_merkle_tree_and_likeness_its_definition(spark, docs, corp
     assert docs.limit(0).select(fingerprint.tree(F.col("text"))).collect() == [] and none.count() == 0
 
 
+def test_likeness_on_either_side_of_short(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    held = " ".join(word() for _ in range(53))
+    whole = held + " " + " ".join(word() for _ in range(17))
+    rows = [(1, whole, held + " " + word()), (2, held, word() + " " + whole), (3, whole, " ".join(word() for _ in range(50))), (4, "", whole), (5, held, word() + " " + held)]
+    assert len(held) < fingerprint.SHORT <= len(whole)
+    both = spark.createDataFrame(rows, "i int, a string, b string").select("i", fingerprint.tree(F.col("a")).alias("a"), fingerprint.tree(F.col("b")).alias("b"))
+    near = {r.i: r.s for r in both.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("s")).collect()}
+    triples = lambda text: {tuple(text.split()[i : i + 3]) for i in range(len(text.split()) - 2)}
+    for i, a, b in rows[:3]:
+        x, y = triples(a), triples(b)
+        assert abs(near[i] - 2 * len(x & y) / (len(x) + len(y))) < 0.12
+    assert near[4] == 0 and near[5] > 0.9
+
+
 def test_edits_are_located(spark):
     lines = [f"paragraph {i} says something\n" for i in range(40)]
     other = list(lines)

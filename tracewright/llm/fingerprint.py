@@ -4,10 +4,10 @@ Paragraphs (lines) are hashed by SHA-256; a section is a run of paragraphs that
 paragraph's hash begins with 0 or 1, so that an edit moves no later section's ends; sections' and the root's hashes are
 SHA-256 of their children's. Equal roots mean equal texts, and going down where hashes differ finds the edits.
 
-For likeness, the fingerprint also carries the `SKETCH` least hashes of the text's runs of three words (short texts: of four
-characters) and the hashes of `BLOCKS` equal stretches of the text. From these two
-fingerprints tell how much their texts share: 1 for equal roots, else the greater of Dice's coefficient of the runs, as
-estimated from the least hashes of the union, and the share of equal stretches (which replacements leave in place even where
+For likeness, the fingerprint also carries the `SKETCH` least hashes of the text's runs of three words, short texts also
+those of its runs of four characters, and the hashes of `BLOCKS` equal stretches of the text. From these two
+fingerprints tell how much their texts share: 1 for equal roots, else the greater of Dice's coefficient of the runs (of
+characters if both texts are short, else of words, which every fingerprint has), as estimated from the least hashes of the union, and the share of equal stretches (which replacements leave in place even where
 a text repeats few runs).
 
 Defined results: null text counts as empty. The empty text has a root and no runs; two empty texts are alike by 1, an
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import let
 
 SKETCH, BLOCKS = 64, 8
-#: Code points under which a text's runs are of four characters.
+#: Code points under which a fingerprint also has runs of four characters.
 SHORT = 400
 #: Rows that a bucket of the order by doc_id holds on average, and the most buckets there are (a bound of what is broadcast).
 BUCKET, BUCKETS = 1024, 100_000
@@ -41,11 +41,19 @@ def _root(text: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.split(_digests(text), _SECTION, -1), lambda s: F.sha2(s, 256)), ","), 256)
 
 
+def _least(text: Column, hashes: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(F.when(text == "", F.array().cast("array<long>")).otherwise(hashes))), 1, SKETCH)
+
+
 def _sketch(text: Column) -> Column:
+    """Of the runs of three words."""
+    return _least(text, let(F.split(text, _SPACES, -1), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3)))))
+
+
+def _letters(text: Column) -> Column:
+    """Of the runs of four characters; null for texts that aren't short."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(4))))
-    triples = let(F.split(text, _SPACES, -1), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3))))
-    hashes = F.when(text == "", F.array().cast("array<long>")).when(F.length(text) < SHORT, runs).otherwise(triples)
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
+    return F.when(F.length(text) < SHORT, _least(text, runs))
 
 
 def _blocks(text: Column) -> Column:
@@ -63,22 +71,27 @@ def _blocks(text: Column) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """(root, sketch, blocks) of a text."""
-    return let(F.coalesce(text, F.lit("")), lambda t: F.struct(_root(t).alias("root"), _sketch(t).alias("sketch"), _blocks(t).alias("blocks")))
+    """(root, sketch, letters, blocks) of a text."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.struct(_root(t).alias("root"), _sketch(t).alias("sketch"), _letters(t).alias("letters"), _blocks(t).alias("blocks")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1, of two values of tree()."""
-    both = F.slice(F.array_sort(F.array_union(a["sketch"], b["sketch"])), 1, SKETCH)
-    shared = let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a["sketch"]), b["sketch"])) / F.size(u))
-    dice = F.coalesce(let(shared, lambda j: 2 * j / (1 + j)), F.lit(0.0))
+    short = a["letters"].isNotNull() & b["letters"].isNotNull()
+
+    def shared(x: Column, y: Column) -> Column:
+        both = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
+        return let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u))
+
+    part = F.when(short, shared(a["letters"], b["letters"])).otherwise(shared(a["sketch"], b["sketch"]))
+    dice = F.coalesce(let(part, lambda j: 2 * j / (1 + j)), F.lit(0.0))
     equal = F.size(F.filter(F.zip_with(a["blocks"], b["blocks"], lambda x, y: x == y), lambda e: e)) / F.greatest(F.size(a["blocks"]), F.size(b["blocks"]))
     return F.when(a["root"] == b["root"], 1.0).when(F.greatest(F.size(a["blocks"]), F.size(b["blocks"])) == 0, 0.0).otherwise(F.greatest(dice, equal))
 
 
 def printed(a: Column) -> Column:
     """A value of tree() as a string."""
-    return F.concat_ws(":", a["root"], *(F.array_join(F.transform(a[x], lambda h: F.lower(F.hex(h))), ".") for x in ("sketch", "blocks")))
+    return F.concat_ws(":", a["root"], *(F.coalesce(F.array_join(F.transform(a[x], lambda h: F.lower(F.hex(h))), "."), F.lit("")) for x in ("sketch", "letters", "blocks")))
 
 
 def sections(docs: DataFrame) -> DataFrame:

@@ -490,6 +490,12 @@ def scan_luhn(spark, sf_dir):
     return sensitive.scan_lines(rows).where("detector_id = 'payment-card'").select("path", "line")
 
 
+@query()
+def scan_all(spark, sf_dir):
+    """All detectors on all lines, cards on lines with long runs of digits as well; SQL without look-around can't state it."""
+    return sensitive.scan_lines(sensitive.document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 @query()
 def scan_diffs(spark, sf_dir):
     """Documents as unified diffs that add their lines."""

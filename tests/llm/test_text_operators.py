@@ -191,6 +191,18 @@ def test_machine_learns_pairs_that_no_sum_of_weights_can(spark, none):
     assert toxicity.scored(none, machine).collect() == []
 
 
+def test_pairs_are_learned_with_the_production_parameters(spark):
+    rows, labels = [], []
+    for i in range(400):
+        a, b = i % 2, i // 2 % 2
+        rows.append((i, f"{'insult' if a else 'praise'} filler {'group' if b else 'thing'} word{i % 7}"))
+        labels.append((i, int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, machine).collect()}
+    assert sum((got[i] >= 0.5) == bool(toxic) for i, toxic in labels) >= 380
+
+
 def test_toxicity_without_labels_and_with_odd_texts(docs, spark):
     machine = toxicity.train(docs, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
     rows = toxicity.scored(docs, machine).collect()

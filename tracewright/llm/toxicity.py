@@ -1,8 +1,9 @@
 """Operator 6: toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their beginnings of a few characters, each hashed to 64 bits. Of a bounded sample of
-labelled documents, the terms whose counts in the two classes differ beyond chance (likelihood ratio) become features; a
-feature's value grows with the logarithm of its count. The machine's score is a logistic function of a bias, linear weights
+labelled documents, the terms whose counts in the two classes differ beyond chance (likelihood ratio) become features, and
+so do both terms of a pair that tells beyond chance more together than either alone; pairs are counted among the FEATURES
+terms that stand in most documents. A feature's value grows with the logarithm of its count. The machine's score is a logistic function of a bias, linear weights
 and all pairwise products of latent vectors, so that two terms together can weigh more, or less, than the sum of both. It
 is fitted by Adagrad on the driver, from the features alone.
 
@@ -127,6 +128,33 @@ def fit(known: np.ndarray, rows: list[tuple[list[int], list[float]]], labels: np
     return made
 
 
+def pair_ratios(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, pool: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Of each feature, the greatest likelihood ratio of a pair with another of the pool that exceeds those of both by
+    CHANCE; 0 without one. From the distinct (doc, feature) and each document's label."""
+    best, place = np.zeros(len(single)), np.full(len(single), -1)
+    place[pool] = np.arange(len(pool))
+    inside = place[feature] >= 0
+    there = []
+    for label in (1, 0):
+        rows = np.cumsum(toxic == label) - 1
+        own = inside & (toxic[doc] == label)
+        there.append(np.zeros((int((toxic == label).sum()), len(pool)), np.float32))
+        there[-1][rows[doc[own]], place[feature[own]]] = 1
+    n = [float(len(x)) for x in there]
+
+    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    for start in range(0, len(pool), 256):
+        own = slice(start, start + 256)
+        together = [(x[:, own].T @ x).astype(np.float64) for x in there]
+        share = (together[0] + together[1]) / sum(n)
+        ratio = 2 * sum(part(c, m * share) + part(m - c, m * (1 - share)) for c, m in zip(together, n))
+        alone = np.maximum(single[pool[own]][:, None], single[pool][None, :])
+        best[pool[own]] = np.where(ratio - alone >= CHANCE, ratio, 0).max(axis=1)
+    return best
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features: int = FEATURES) -> Machine:
     """A machine from docs (doc_id, text) and labels (doc_id, toxic): of each class the per_class labelled documents with
     the lowest hash of doc_id."""
@@ -147,8 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features:
         return F.when(x > 0, x * F.log(x / (of * share))).otherwise(0.0)
 
     ratio = 2 * (part(F.col("a"), n1, mean) + part(F.col("b"), n0, mean) + part(n1 - F.col("a"), n1, 1 - mean) + part(n0 - F.col("b"), n0, 1 - mean))
-    top = tallied.withColumn("ratio", ratio).where(F.col("ratio") >= CHANCE).orderBy(F.desc("ratio"), "term").limit(features).collect() if n0 and n1 else []
-    known = np.sort(np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64))
+    known = pool = np.zeros(0, np.uint64)
+    ratios = {}
+    if n0 and n1:
+        counted = staged(tallied.withColumn("ratio", ratio))
+        single = counted.where(F.col("ratio") >= CHANCE).orderBy(F.desc("ratio"), "term").limit(features).collect()
+        common = counted.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(features).collect()
+        ratios = {r["term"]: r["ratio"] for r in single + common}
+        pool = np.sort(np.array([r["term"] for r in common], dtype=np.int64).view(np.uint64))
+        known = np.sort(np.array(list(ratios), dtype=np.int64).view(np.uint64))
     empty = docs.sparkSession.sparkContext.broadcast(Machine(known, 0.0, np.zeros(len(known)), np.zeros((len(known), 0))))
 
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -157,9 +192,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features:
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (feature, value)]
         return pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "features": lists[0], "counts": lists[1]})
 
-    rows = texts.mapInArrow(lambda batches: by_text(batches, "text", featured), "doc_id long, toxic int, features array<long>, counts array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["features"]))
-    return fit(known, [(r["features"], r["counts"]) for r in rows], np.array([r["toxic"] for r in rows], np.float64))
+    found = texts.mapInArrow(lambda batches: by_text(batches, "text", featured), "doc_id long, toxic int, features array<long>, counts array<double>").toArrow()
+    ids, toxic = (found.column(x).to_numpy() for x in ("doc_id", "toxic"))
+    lists = [x for x in found.column("features").chunks]
+    doc = np.repeat(np.arange(len(ids)), np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in lists)]).astype(np.int64))
+    feature = np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in lists)])
+    value = np.concatenate([np.zeros(0), *(x.flatten().to_numpy() for x in found.column("counts").chunks)])
+    score = np.array([ratios[t] for t in known.view(np.int64).tolist()], np.float64)
+    if len(pool):
+        score = np.maximum(score, pair_ratios(doc, feature, toxic, np.searchsorted(known, pool), score))
+    chosen = np.flatnonzero(score >= CHANCE)
+    chosen = np.sort(chosen[np.lexsort((known[chosen].view(np.int64), -score[chosen]))][:features])
+    held = np.isin(feature, chosen)
+    doc, feature, value = doc[held], np.searchsorted(chosen, feature[held]), value[held]
+    bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+    rows = [(d, t, feature[i:j].tolist(), value[i:j].tolist()) for d, t, i, j in zip(ids.tolist(), toxic.tolist(), bounds[:-1], bounds[1:])]
+    rows.sort(key=lambda r: r[:3])
+    return fit(known[chosen], [r[2:] for r in rows], np.array([r[1] for r in rows], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

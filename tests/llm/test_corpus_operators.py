@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 from collections import defaultdict
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tracewright.llm import fingerprint, line_dedup, near_duplicates, words
+from tracewright.llm import line_dedup, near_duplicates, words
 
 # words
 
@@ -235,76 +234,6 @@ def test_line_dedup_by_words_deletes_what_stands_earlier_and_nothing_else(spark,
     assert not re.search("Python|Pandas|ArrowEval", line_dedup.without_repeats(docs, by_words=True)._jdf.queryExecution().toString())
 
 
-# fingerprints
-
-
-def test_next_rows_and_edits_equal_a_loop(spark, corpus, monkeypatch):
-    monkeypatch.setattr(fingerprint, "BUCKET", 3)
-    rows = sorted({(r[0] * 7 % 101, r[1] or "") for r in corpus})
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.next.text for r in fingerprint.with_next(frame, "doc_id", F.xxhash64("text"), ["text"]).collect()}
-    assert got == {d: rows[(i + 1) % len(rows)][1] for i, (d, _) in enumerate(rows)}
-    alone = fingerprint.with_next(frame.limit(0), "doc_id", F.lit(0), ["text"])
-    assert alone.collect() == []
-    one = spark.createDataFrame([(None, "x")], "doc_id long, text string")
-    assert [r.next.text for r in fingerprint.with_next(one, "doc_id", F.lit(0), ["text"]).collect()] == ["x"]
-
-
-def merkle(text):
-    digests = [hashlib.sha256(p.encode()).hexdigest() for p in re.split(r"(?<=\n)", text)]
-    blank = hashlib.sha256(b"\n").hexdigest()
-    sections, now = [], ""
-    for d in digests:
-        now += d + ","
-        if d[0] in "01" or d == blank:
-            sections.append(now)
-            now = ""
-    sections.append(now)
-    return hashlib.sha256(",".join(hashlib.sha256(s.encode()).hexdigest() for s in sections).encode()).hexdigest()
-
-
-def test_roots_equal_a_merkle_tree_and_likeness_its_definition(spark, docs, corpus, none):
-    both = docs.select("doc_id", "text", fingerprint.tree(F.col("text")).alias("t"))
-    roots = {r.doc_id: r.t.root for r in both.collect()}
-    by_text = defaultdict(set)
-    for d, text, *_ in corpus:
-        by_text[text or ""].add(roots[d])
-        assert roots[d] == merkle(text or "")
-    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) == len(by_text)
-    pairs = both.alias("a").crossJoin(both.alias("b")).select(F.col("a.text").alias("x"), F.col("b.text").alias("y"), fingerprint.likeness(F.col("a.t"), F.col("b.t")).alias("s")).collect()
-    for r in pairs:
-        assert 0 <= r.s <= 1 and (r.s == 1) >= ((r.x or "") == (r.y or ""))
-    near = {(r.x, r.y): r.s for r in pairs}
-    texts = [t for _, t, *_ in corpus]
-    assert near[texts[7], texts[10]] > 0.8 > 0.3 > near[texts[7], texts[13]]
-    assert docs.limit(0).select(fingerprint.tree(F.col("text"))).collect() == [] and none.count() == 0
-
-
-def test_likeness_on_either_side_of_short(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    held = " ".join(word() for _ in range(53))
-    whole = held + " " + " ".join(word() for _ in range(17))
-    rows = [(1, whole, held + " " + word()), (2, held, word() + " " + whole), (3, whole, " ".join(word() for _ in range(50))), (4, "", whole), (5, held, word() + " " + held)]
-    assert len(held) < fingerprint.SHORT <= len(whole)
-    both = spark.createDataFrame(rows, "i int, a string, b string").select("i", fingerprint.tree(F.col("a")).alias("a"), fingerprint.tree(F.col("b")).alias("b"))
-    near = {r.i: r.s for r in both.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("s")).collect()}
-    triples = lambda text: {tuple(text.split()[i : i + 3]) for i in range(len(text.split()) - 2)}
-    for i, a, b in rows[:3]:
-        x, y = triples(a), triples(b)
-        assert abs(near[i] - 2 * len(x & y) / (len(x) + len(y))) < 0.12
-    assert near[4] == 0 and near[5] > 0.9
-
-
-def test_edits_are_located(spark):
-    lines = [f"paragraph {i} says something\n" for i in range(40)]
-    other = list(lines)
-    other[17] = "changed\n"
-    before, after = (fingerprint.sections(spark.createDataFrame([(1, "".join(x)), (2, "same")], "doc_id long, text string")) for x in (lines, other))
-    row = fingerprint.edits(before, after).collect()
-    assert [r.doc_id for r in row] == [1] and len(row[0].removed) == 1 and len(row[0].added) == 1
-
-
 # the pipeline and the registry
 
 

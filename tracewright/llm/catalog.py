@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, fingerprint, language, licenses, line_dedup, oracles, packing, personal, quality, toxicity
 from tracewright.llm.near_duplicates import near_duplicates
-from tracewright.llm.shared import table
+from tracewright.llm.shared import let, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +63,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"), fingerprint.tree(text).alias("own"))
-    rows = fingerprint.with_next(docs, "doc_id", F.xxhash64("text"), ["text", "own"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    rows = fingerprint.with_next(docs, "doc_id", F.xxhash64("text"), ["text", "own"], {"n_chars": F.length("text"), "own": fingerprint.tree(F.col("text"))})
     swapped = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - swapped), F.substring(F.col("next.text"), F.lit(1), swapped))
-    rows = rows.select("doc_id", "n_chars", "own", F.col("next.own").alias("following"), fingerprint.let(edited, lambda t: F.struct(F.sha2(t, 256).alias("sha"), fingerprint.tree(t).alias("tree"))).alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - swapped), F.substring(F.col("next.text"), F.lit(1), swapped))
+    rows = rows.select("doc_id", "n_chars", "own", F.col("next.own").alias("following"), let(edited, lambda t: F.struct(F.sha2(t, 256).alias("sha"), fingerprint.tree(t).alias("tree"))).alias("edited"))
     return rows.select(
         "doc_id",
-        "n_chars",
+        F.col("n_chars").cast("long").alias("n_chars"),
         F.col("edited.sha").alias("edited_sha256"),
         fingerprint.printed(F.col("own")).alias("fingerprint"),
         fingerprint.printed(F.col("edited.tree")).alias("edited_fingerprint"),

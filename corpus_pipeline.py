@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five operators, each working on all that its predecessor kept.
 
-toxicity: documents that score as toxic go. line dedup: later copies of repeated passages go from the texts. near
+toxicity: documents that score as toxic go. line dedup: later copies of repeated passages go from the
+texts, and with them the documents that nothing is left of. near
 duplicates: one document of each group stays. personal data: spans are replaced by their kind. packing: the texts as
 sequences of token ids. All stages but the last return the columns of documents.
 """
@@ -20,7 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(docs, by_words=True)
+    """Documents that lose all their words (all of it stands earlier) go."""
+    return line_dedup.without_repeats(docs, drop_emptied=True)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tracewright.llm import line_dedup, near_duplicates, words
+from tracewright.llm import near_duplicates, words
 
 # words
 
@@ -132,108 +132,6 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100}
 
 
-# line dedup
-
-
-def pieces(text):
-    return re.split(r"(?=\n)|(?=[ \t⺀-鿿가-힯])(?<=[.?;:,。！？、])|(?=[ \t⺀-鿿가-힯])(?<=[^!]!)", text)
-
-
-def bounds(rows):
-    """Pieces that must go, and those that may: in runs that repeat as a whole, and in runs of repeated grams."""
-    gram, sure = line_dedup.GRAM, line_dedup.GRAM + line_dedup.WINDOW - 1
-    cut = {d: pieces(t) for d, t in rows if t}
-    trimmed = cut
-
-    def covered(size):
-        first, out = {}, defaultdict(set)
-        for d in sorted(trimmed):
-            for i in range(len(trimmed[d]) - size + 1):
-                key = tuple(trimmed[d][i : i + size])
-                if first.setdefault(key, (d, i)) < (d, i):
-                    out[d].update(range(i, i + size))
-        return out
-
-    def long_runs(marked):
-        out = defaultdict(set)
-        for d, places in marked.items():
-            run = []
-            for p in [*sorted(places), None]:
-                if run and p != run[-1] + 1 if p is not None else run:
-                    if sum(len(cut[d][x].split()) for x in run) >= line_dedup.LEAST_WORDS:
-                        out[d].update(run)
-                    run = []
-                run.append(p)
-        return out
-
-    return cut, long_runs(covered(sure)), long_runs(covered(gram))
-
-
-def test_line_dedup_deletes_repeated_runs_and_nothing_else(spark, docs, corpus, none):
-    rng = random.Random(2)
-    made = lambda n: " ".join("".join(rng.choice(["ba", "dog", "key", "lum", "pens"]) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
-    passages = [made(60) for _ in range(4)]
-    rows = [(i, f"{made(rng.randint(3, 50))} {rng.choice(passages)} {made(rng.randint(0, 40))}") for i in range(40)]
-    rows += [(100, made(70) + "\n" + passages[0]), (101, None), (102, ""), (103, " \n")]
-    for table, source in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), (docs, [(r[0], r[1]) for r in corpus])):
-        got = {r.doc_id: r for r in line_dedup.without_repeats(table).collect()}
-        cut, must, may = bounds(source)
-        for d, text in source:
-            if not text:
-                assert got[d].text == text
-                continue
-            low = "".join(p for i, p in enumerate(cut[d]) if i not in may[d])
-            high = "".join(p for i, p in enumerate(cut[d]) if i not in must[d])
-            kept = iter(high)
-            assert all(c in kept for c in got[d].text)
-            kept = iter(got[d].text)
-            assert all(c in kept for c in low)
-    later = [t for d, t in rows if d]
-    assert sum(p in (got_text or "") for p in passages for got_text in (r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == len({p for p in passages if any(p in (t or "") for _, t in rows)}) and later
-    assert line_dedup.without_repeats(none).collect() == []
-
-
-def test_line_dedup_keeps_columns_and_follows_lengths(docs):
-    out = line_dedup.without_repeats(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert out.where("n_chars <> length(text)").count() == 0
-
-
-def test_line_dedup_runs_no_python(docs):
-    plan = line_dedup.without_repeats(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan.replace("spark.sql.execution.arrow", ""))
-
-
-def without_later_runs(rows, least):
-    """Texts without the words of runs of least words that stand earlier, whatever white space is between them."""
-    seen, out = {}, {}
-    for d, text in sorted(rows, key=lambda r: r[0]):
-        parts = re.split(r"(?<=[^ \t-\r])(?=[ \t-\r]+[^ \t-\r])", text or "")
-        w = [x.strip(" \t\n\x0b\f\r") for x in parts]
-        gone = set()
-        for i in range(len(w) - least + 1):
-            if seen.setdefault(tuple(w[i : i + least]), (d, i)) < (d, i):
-                gone.update(range(i, i + least))
-        out[d] = None if text is None else "".join(x for i, x in enumerate(parts) if i not in gone)
-    return out
-
-
-def test_line_dedup_by_words_deletes_what_stands_earlier_and_nothing_else(spark, docs, corpus, none):
-    rng = random.Random(12)
-    made = lambda n, ends=("",): [f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}{rng.choice(ends)}" for _ in range(n)]
-    plain, two = made(51), [*made(30), "end.", *made(28), "end.", *made(29)]
-    rows = [(1, " ".join(plain)), (2, " ".join(two)), (3, " ".join([*made(9), *plain, *made(9)])), (4, " ".join([*made(7), *two, *made(7)])), (5, "\n".join(plain[:25])), (6, " ".join(plain[:24]))]
-    rows += [(7, " \n" + " ".join(made(3) + plain[9:40]) + "  "), (8, "same " * 80), (9, None), (10, ""), (11, " \n")]
-    rows += [(20 + i, " ".join(rng.choice(["x", "y."]) for _ in range(rng.randint(0, 60)))) for i in range(30)]
-    for table, source in ((spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows), (docs, [(r[0], r[1]) for r in corpus])):
-        got = {r.doc_id: r.text for r in line_dedup.without_repeats(table, by_words=True).collect()}
-        assert got == without_later_runs(dict(source).items(), line_dedup.LEAST_WORDS)
-    queried = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
-    assert queried[3].split() == rows[2][1].split()[:9] + rows[2][1].split()[-9:] and queried[5] == "" and len(queried[6].split()) == 24
-    assert line_dedup.without_repeats(none, by_words=True).collect() == []
-    assert not re.search("Python|Pandas|ArrowEval", line_dedup.without_repeats(docs, by_words=True)._jdf.queryExecution().toString())
-
-
 # the pipeline and the registry
 
 

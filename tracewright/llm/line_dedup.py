@@ -1,30 +1,31 @@
-"""Operator 2: removal of repeated passages by winnowing over line hashes. DataFrame functions only.
-
-A passage may begin anywhere in a line, so lines are cut further after punctuation: the same passage is cut alike wherever
-it stands, but for its first and last piece. Hashes of `gram` consecutive pieces are winnowed: of every `window` consecutive
-hashes the least is a fingerprint; so any two copies of a run of gram + window - 1 pieces share one at the same place in the
-run. Fingerprints that stand in more than one place are matches; each is extended both ways over the `window - 1` grams
-before and after it, which reach the next fingerprint, so that all grams of a repeated run are compared. A gram with an
-earlier occurrence (lower doc_id, or earlier in the same document) marks its pieces; a run of marked pieces with
-`least_words` words or more is deleted. The earliest occurrence always stays.
-
-By words (`by_words`), which op2 and the pipeline use, the pieces are single words, whatever the punctuation: a run of
-`least_words` words that stands earlier is always found and deleted, whatever white space stands between its words, and
-nothing else is. Half as long grams of words are winnowed by half as long windows, so each such run has a fingerprint in
-all its copies; runs of least_words words around matches are then compared themselves.
-
-Grams are joined with their first occurrence alone, never with each other, and are aggregated before they are shuffled, so
-a passage in a third of all documents costs no more than its occurrences. Texts aren't shuffled, but for those that change.
-
-Defined results: null text stays null; an empty text stays empty; a document all of whose text stands earlier becomes empty.
-Rows of one doc_id are one document with equal text (repeated rows stay alike); rows of null doc_id are kept as they are.
-Equal hashes in a window are all selected. Fewer grams than a window are all selected. Other columns stay.
+"""Operator 2: removal of repeated passages by winnowing. DataFrame functions only.
+
+A passage may begin anywhere in a line, so lines are cut into words. Every run of `least_words` words that begins at an
+anchor (a word whose hash says so, one in four) is hashed; of every two consecutive anchors' hashes the least is a
+fingerprint. So are the runs at the starts of lines of that many words, and those at places before which few anchors stand.
+Hence two copies of a run of 2 * least_words + 1 words or more, and of a whole line of least_words words or more, always
+share a fingerprint; shorter runs down to least_words words do if an anchor's run lies within them.
+
+A fingerprint's place (document, word) is joined with its first place. Matches of one diagonal (the same first document and
+the same distance) that touch are one run, which is then extended both ways, word by word, as long as both places have the
+same words (up to `least_words` - 1 words, beyond which another fingerprint takes over). Later runs are deleted, whatever
+white space stands between their words. So nothing is deleted but runs of least_words words or more that stand, in one
+piece, in an earlier document (by doc_id) or earlier in the same one; the earliest always stays. Documents whose whole
+text equals an earlier one's become empty, however few words they have. Shorter repeated runs and lines stay.
+
+Hashes are joined with their first place alone, never with each other, and are aggregated before they are shuffled, so a
+passage in a third of all documents costs no more than its occurrences. Texts aren't shuffled, but for those that match.
+Runs are compared by 96 bits (xxHash64 and Murmur3), extensions by 64 bits a word, whole texts by SHA-256.
+
+Defined results: null text stays null; an empty text stays empty; a document all of whose text stands earlier becomes
+empty, or is dropped if so asked. Repeated rows (equal doc_id and text) are one document and stay alike; rows of a doc_id
+with several texts, and of null doc_id, are kept as they are and nothing is compared with them. Ideographs, kana and hangul
+syllables are words of their own. Ties: equal hashes of two anchors are both fingerprints. Other columns stay, whatever their
+names. doc_id must be castable to long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -32,124 +33,168 @@ from pyspark.sql import functions as F
 from tracewright.llm.near_duplicates import only
 from tracewright.llm.shared import let, staged
 
-GRAM, WINDOW, LEAST_WORDS = 2, 3, 25
-#: A piece ends before a line's end, and after punctuation before white space or an ideograph or syllable (but not after a
-#: row of exclamation marks). The first look-ahead alone decides at nearly all places.
-#: Texts that are cut into words: white space before a word belongs to it, and after the last word to that.
-_WORD, _BLANKS, _BLANK = r"(?<=\S)(?=\s+\S)", r"\s+", " \t\n\x0b\f\r"
-_CUT = r"(?=[\n \t⺀-鿿가-힯])(?:(?<=[.?;:,。！？、])|(?=\n)|(?<=[^!]!))"
+LEAST_WORDS = 25
+#: One word in so many is an anchor.
+ANCHOR = 4
+_BLANK = " \t\n\x0b\f\r"
+_BLANKS = r"\s+"
+#: Signs that are words of their own: ideographs, kana, hangul syllables.
+_SIGN = "[⺀-〿぀-鿿가-힯豈-﫿]"
+_AMONG = rf"\s+|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
+#: Cuts of a text into words; white space before a word belongs to it, and after the last word to that.
+_WORD = r"(?<=\S)(?=\s+\S)"
+_WORD_AMONG = rf"{_WORD}|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
+
+
+def _words(text: Column) -> Column:
+    return F.when(text.rlike(_SIGN), F.split(text, _AMONG, -1)).otherwise(F.split(text, _BLANKS, -1))
+
+
+def _pieces(text: Column) -> Column:
+    """The words with the white space that belongs to them."""
+    return F.when(text.rlike(_SIGN), F.split(text, _WORD_AMONG, -1)).otherwise(F.split(text, _WORD, -1))
 
 
-def _pieces(text: Column, by_words: bool = False) -> Column:
-    """The pieces; white space between two belongs to the second."""
-    return F.split(text, _WORD if by_words else _CUT, -1)
+def _number(n: int) -> Column:
+    return F.lit(n).cast("long")
 
 
-def _hashed(text: Column, by_words: bool) -> Column:
-    """Hashes of the pieces; of words without the white space."""
-    parts = F.split(F.btrim(text, F.lit(_BLANK)), _BLANKS, -1) if by_words else _pieces(text)
-    return F.transform(parts, lambda s: F.xxhash64(s))
+def _flagged(text: Column, least: int) -> Column:
+    """A hash of each word; its lowest bit tells an anchor, the next the start of a line of `least` words."""
 
+    def line(words: Column) -> Column:
+        long_line = F.size(words) >= least
+        return F.transform(words, lambda w, i: let(F.xxhash64(w), lambda h: h.bitwiseAND(_number(-4)).bitwiseOR(F.when((i == 0) & long_line, _number(2)).otherwise(_number(0))).bitwiseOR(F.when(F.shiftright(h, 3).bitwiseAND(_number(ANCHOR - 1)) == 0, _number(1)).otherwise(_number(0)))))
 
-def _grams(hashes: Column, gram: int) -> Column:
-    """Hash of each run of gram pieces, by its first piece; none of fewer pieces."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != "")
+    return F.flatten(F.transform(lines, lambda x: line(_words(x))))
 
-    def of(hashes: Column) -> Column:
-        n = F.size(hashes) - gram + 1
-        runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(gram))))
-        return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
 
-    return let(hashes, of)
+def _hashes(text: Column) -> Column:
+    """The words' hashes alone."""
+    return F.transform(_words(F.btrim(text, F.lit(_BLANK))), lambda w: F.xxhash64(w).bitwiseAND(_number(-4)))
 
 
-def _sliding(values: Column, window: int, of: Callable[..., Column], body: Callable[[Column], Column], size: int = 1) -> Column:
-    """body(of the `window` values from each on), with ever longer stretches joined by twos; null stands for no value."""
-    if size == window:
-        return body(values)
-    step = min(size, window - size)
-    return let(F.transform(values, lambda x, i: of(x, F.get(values, i + step))), lambda v: _sliding(v, window, of, body, size + step))
+def _marked(flagged: Column, bit: int) -> Column:
+    """Places of the words with a flag."""
+    return F.filter(F.transform(flagged, lambda x, i: F.when(x.bitwiseAND(_number(bit)) != 0, i)), lambda i: i.isNotNull())
 
 
-def _selected(grams: Column, window: int) -> Column:
-    """(pos, h) of the window minima; pos from 0."""
+def _selected(flagged: Column, least: int) -> Column:
+    """(pos, h, c) of the fingerprints; pos from 0."""
+    last = F.size(flagged) - least
 
-    def of_windows(least: Column) -> Column:
-        whole = F.slice(least, 1, F.greatest(F.size(grams) - window + 1, F.lit(0)))
-        spread = F.concat(F.array_repeat(F.lit(None).cast("long"), window - 1), whole, F.array_repeat(F.lit(None).cast("long"), window - 1))
-        return let(spread, lambda v: _sliding(v, window, F.greatest, chosen))
+    def chosen(hashes: Column, anchors: Column, starts: Column) -> Column:
+        def gram(i: Column) -> Column:
+            return let(F.slice(hashes, i + 1, least), lambda g: F.struct(i.alias("pos"), F.xxhash64(g).alias("h"), F.hash(g).alias("c")))
 
-    def chosen(most: Column) -> Column:
-        # a hash is the least of a window around it if the greatest of these windows' least is it
-        marked = F.transform(grams, lambda h, i: F.when((F.size(grams) < window) | (h == F.get(most, i)), F.struct(i.alias("pos"), h.alias("h"))))
-        return F.filter(marked, lambda x: x.isNotNull())
+        def minima(grams: Column) -> Column:
+            def least_of_two(x: Column, k: Column) -> Column:
+                return F.coalesce(x["h"] <= F.get(grams, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] <= F.get(grams, k + 1)["h"], F.lit(False)) | (F.size(grams) == 1)
 
-    return _sliding(grams, window, F.least, of_windows)
+            return F.filter(grams, least_of_two)
 
+        # places with fewer than two anchors among the `least` words before them and themselves
+        ends = F.concat(F.array(F.lit(-1), F.lit(-1)), anchors, F.array(F.size(flagged)))
 
-def _sizes(gram: int, window: int, least_words: int, by_words: bool) -> tuple[int, int]:
-    """(gram, window); by words, they are such that together they span least_words words."""
-    return (least_words - least_words // 2, least_words // 2 + 1) if by_words else (gram, window)
+        def between(end: Column, k: Column) -> Column:
+            low = F.greatest(F.get(ends, k - 1), F.get(ends, k - 2) + least + 1, F.lit(0))
+            high = F.least(end - 1, last)
+            return F.when((k >= 2) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
+        sparse = F.flatten(F.filter(F.transform(ends, between), lambda x: F.size(x) > 0))
+        more = F.array_distinct(F.concat(F.filter(starts, lambda i: i <= last), sparse))
+        found = let(F.transform(F.filter(anchors, lambda i: i <= last), gram), minima)
+        return F.array_distinct(F.concat(found, F.transform(more, gram)))
 
-def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, by_words: bool = False) -> DataFrame:
-    """(doc_id, pos, h): the fingerprints of docs (doc_id, text)."""
-    chosen = let(_grams(_hashed(F.col("text"), by_words), gram), lambda g: _selected(g, window))
+    both = lambda hashes: let(_marked(flagged, 1), lambda anchors: let(_marked(flagged, 2), lambda starts: chosen(hashes, anchors, starts)))
+    return let(F.transform(flagged, lambda x: x.bitwiseAND(_number(-4))), both)
+
+
+def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, pos, h, c): the fingerprints of docs (doc_id, text); pos is a word, from 0."""
+    chosen = let(_flagged(F.col("text"), least_words), lambda x: F.when(F.size(x) >= least_words, _selected(x, least_words)))
     return docs.select("doc_id", F.inline(chosen))
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS, by_words: bool = False) -> DataFrame:
-    """(doc_id, runs): of each document with later repeated runs, the pieces (first, last; from 0) of each. By words, gram
-    and window follow from least_words, and runs may overlap."""
-    gram, window = _sizes(gram, window, least_words, by_words)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    prints = staged(fingerprints(docs, gram, window, by_words))
+def _matches(prints: DataFrame) -> DataFrame:
+    """(doc_id, pos, doc0, pos0): later places of fingerprints with their first place."""
+    place = F.struct("doc_id", "pos")
     # what a hot hash is joined with is staged, so that both sides come from shuffles and the hot one can be split
-    twice = staged(prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    matched = staged(prints.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    near = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), p if by_words else p + window - 1))))
+    first = staged(prints.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "c", "first"))
+    return prints.join(first, ["h", "c"]).where(place > F.col("first")).select("doc_id", "pos", F.col("first.doc_id").alias("doc0"), F.col("first.pos").alias("pos0"))
 
-    def words(piece: Column) -> Column:
-        return F.size(F.filter(F.split(piece, r"\s+", -1), lambda w: w != ""))
 
-    def extended(pieces: Column) -> Column:
-        def of(grams: Column) -> Column:
-            some = F.filter(near, lambda p: p < F.size(grams))
-            return F.transform(some, lambda p: F.struct(p.alias("pos"), F.get(grams, p).alias("h"), F.transform(F.slice(pieces, p + 1, gram), words).alias("words")))
+def _runs(matches: DataFrame, least: int) -> DataFrame:
+    """(doc_id, first, last, doc0, shift): matches of one diagonal that touch, as one."""
+    diagonal = ["doc_id", "doc0", "shift"]
+    order = Over.partitionBy(*diagonal).orderBy("pos")
+    rows = matches.withColumn("shift", F.col("pos") - F.col("pos0")).withColumn("before", F.lag("pos").over(order))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("pos") > F.col("before") + least, 1).otherwise(0)).over(order))
+    return rows.groupBy(*diagonal, "run").agg(F.min("pos").alias("first"), (F.max("pos") + (least - 1)).alias("last")).drop("run")
 
-        return let(_grams(F.transform(pieces, lambda s: F.xxhash64(s)), gram), of)
 
-    def spans(grams: Column) -> Column:
-        """Of the runs of gram + window - 1 words near matches: a run's first and last gram cover it."""
-        some = F.filter(near, lambda p: p + window - 1 < F.size(grams))
-        return F.transform(some, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.get(grams, p), F.get(grams, p + window - 1)).alias("h")))
+def _extended(runs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, first, last): runs, extended both ways along their diagonal."""
+    reach = least - 1
+    sides = [("own", "first"), ("own", "last"), ("other", "first"), ("other", "last")]
+    asks = [F.struct(F.lit(f"{s}_{e}").alias("ask"), F.col("doc_id" if s == "own" else "doc0").alias("at"), F.lit(e == "last").alias("after"), (F.col(e) if s == "own" else F.col(e) - F.col("shift")).alias("word")) for s, e in sides]
+    asked = runs.withColumn("a", F.explode(F.array(*asks))).select(*runs.columns, "a.*")
+    places = asked.select("at", "after", "word").distinct().groupBy("at").agg(F.collect_list(F.struct("after", "word")).alias("places"))
+    places = staged(places.select(F.col("at").alias("doc_id"), "places"))
 
-    place = F.struct("doc_id", "pos")
-    some = only(docs, matched.select("doc_id"))
-    compared = let(_grams(_hashed(F.col("text"), True), gram), spans) if by_words else let(_pieces(F.col("text")), extended)
-    grams = staged(some.join(matched, "doc_id").select("doc_id", F.inline(compared)))
-    first = staged(grams.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
-    later = grams.join(first, "h").where(place > F.col("first"))
-    if by_words:
-        run = F.col("pos") - F.dense_rank().over(Over.partitionBy("doc_id").orderBy("pos"))
-        runs = later.select("doc_id", "pos", run.alias("run")).groupBy("doc_id", "run").agg(F.min("pos").alias("first"), (F.max("pos") + least_words - 1).alias("last"))
-    else:
-        marked = later.select("doc_id", "pos", F.posexplode("words").alias("k", "n")).select("doc_id", (F.col("pos") + F.col("k")).alias("piece"), "n").distinct()
-        run = F.col("piece") - F.row_number().over(Over.partitionBy("doc_id").orderBy("piece"))
-        runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("piece").alias("first"), F.max("piece").alias("last"), F.sum("n").alias("words"))
-        runs = runs.where(F.col("words") >= least_words)
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-
-
-def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, least_words: int = LEAST_WORDS, by_words: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) without later repeated runs; n_chars, if there, follows."""
-    runs = staged(repeated_runs(docs, gram, window, least_words, by_words).withColumnRenamed("runs", "__repeated_runs"))
+    def around(hashes: Column) -> Column:
+        def one(p: Column) -> Column:
+            low = F.greatest(p["word"] - reach, F.lit(0))
+            words = F.when(p["after"], F.slice(hashes, p["word"] + 2, reach)).otherwise(F.reverse(F.slice(hashes, low + 1, p["word"] - low)))
+            return F.struct(p["after"].alias("after"), p["word"].alias("word"), words.alias("words"))
+
+        return F.transform("places", one)
+
+    texts = only(docs, places.select("doc_id"))
+    words = staged(texts.join(places, "doc_id").select(F.col("doc_id").alias("at"), F.inline(let(_hashes(F.col("text")), around))))
+    found = asked.join(words, ["at", "after", "word"]).groupBy(*runs.columns).agg(*(F.max(F.when(F.col("ask") == f"{s}_{e}", F.col("words"))).alias(f"{s}_{e}") for s, e in sides))
+
+    def alike(end: str) -> Column:
+        same = F.zip_with(f"own_{end}", f"other_{end}", lambda x, y: x.eqNullSafe(y))
+        return let(F.array_position(same, False), lambda k: F.when(k > 0, k - 1).otherwise(F.size(f"own_{end}"))).cast("int")
+
+    return found.select("doc_id", (F.col("first") - alike("first")).alias("first"), (F.col("last") + alike("last")).alias("last"))
+
+
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, runs): of each document with later repeated runs, the words (first, last; from 0) of each; runs may overlap. Of
+    a document whose whole text equals an earlier one's, runs is null."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    texts = staged(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), (F.btrim("text", F.lit(_BLANK)) != "").alias("filled")))
+    repeated = staged(texts.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("sha") != F.max("sha")).alias("several")).where("n > 1"))
+    several, alike = repeated.where("several").select("doc_id"), repeated.where("not several").select("doc_id")
+    single = only(texts, several, how="left_anti").where("filled")
+    twice = staged(single.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sha", "low"))
+    copies = staged(single.join(twice, "sha").where("doc_id > low").select("doc_id").distinct())
+    if alike.head(1):
+        docs = only(docs, alike, how="left_anti").unionByName(only(docs, alike).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    docs = only(docs, several.union(copies), how="left_anti")
+    runs = staged(_runs(_matches(staged(fingerprints(docs, least_words))), least_words))
+    found = _extended(runs, docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    return found.unionByName(copies.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType)))
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) without later repeated runs; n_chars, if there, follows. drop_emptied: documents that lose all
+    their words go."""
+    runs = staged(repeated_runs(docs, least_words).select(F.col("doc_id").alias("__of"), F.col("runs").alias("__repeated_runs")))
 
     def rebuilt(pieces: Column) -> Column:
         gone = F.flatten(F.transform("__repeated_runs", lambda r: F.sequence(r["first"], r["last"])))
         left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
 
-    changed = only(docs, runs.select("doc_id")).join(runs, "doc_id").withColumn("text", let(_pieces(F.col("text"), by_words), rebuilt)).select(docs.columns)
+    keyed = docs.withColumn("__of", F.col("doc_id").cast("long"))
+    changed = only(keyed, runs.select("__of"), "__of").join(runs, "__of").withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.col("__repeated_runs").isNull(), "").otherwise(let(_pieces(F.col("text")), rebuilt))))
+    if drop_emptied:
+        changed = changed.where(F.btrim("text", F.lit(_BLANK)) != "")
+    changed = changed.select(docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return only(docs, runs.select("doc_id"), how="left_anti").select(docs.columns).unionByName(changed)
+    return only(keyed, runs.select("__of"), "__of", "left_anti").select(docs.columns).unionByName(changed)

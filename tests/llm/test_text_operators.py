@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracewright.llm import bpe, language, licenses, packing, personal, quality, toxicity
+from tracewright.llm import bpe, licenses, packing, personal, quality, toxicity
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -105,23 +105,6 @@ def test_bpe_of_a_table(docs, corpus, none, library):
     assert bpe.encoded(none, RANKS, P.PATTERN).collect() == []
 
 
-# language
-
-
-def test_language_learns_words_and_backs_off(spark, docs, none):
-    words = {"x": "alpha beta gamma delta", "y": "omikron sigma lambda kappa"}
-    rows = [(i, " ".join(words["xy"[i % 2]].split()[k % 4] for k in range(i, i + 6)), "xy"[i % 2]) for i in range(40)] + [(99, "noise", None)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    asked = [(1, "beta alpha"), (2, "SIGMA"), (3, "alphabet"), (4, "omikronik kappa"), (5, None), (6, "12 ..."), (7, ""), (8, "漢字")]
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
-    assert [got[i][0] for i in range(1, 8)] == ["x", "y", "x", "y", "und", "und", "und"]
-    assert got[8] == ("x", 0.5) and got[5][1] == 0 and all(0 <= s <= 1 for _, s in got.values())
-    assert language.identify(docs, model).count() == docs.count()
-    assert language.identify(none, model).collect() == []
-    empty = language.train(none)
-    assert {(r.lang_pred, r.score) for r in language.identify(docs, empty).collect()} == {("und", 0.0)}
-
-
 # licenses
 
 

@@ -1,14 +1,18 @@
 """Operator 3: language identification, words first, then shorter and shorter character n-grams.
 
 Training counts words and the character n-grams of distinct words for each language on a bounded sample of the labelled
-documents; each count becomes a smoothed log frequency. A word the model knows adds its log frequencies; a word it doesn't
+documents; each count becomes a log frequency, above a floor that all
+languages share, so that one of few documents isn't favoured by what it lacks. Words are runs of letters; one of over WHOLE characters, as scripts
+without spaces have them, is learned and looked up by its n-grams alone. A word the model knows adds its log frequencies; a word it doesn't
 know is looked up by its n-grams, longest first: what the longest length leaves without any known n-gram falls back to the
 next length. The language with the highest sum wins; the score is its share after a softmax of the mean per word times the
 square root of the number of words, so long texts are surer than short ones without overflowing to 1 at once.
 
 Defined results: a null text, or one without a letter: `und`, score 0. A text with letters but nothing known: the language
 with the most training documents, score 1 / languages. Without training rows every prediction is `und`, score 0. Ties go
-to the first language in order. Repeated rows give one row each; labels of null language aren't learned.
+to the first language in order. Repeated rows give one row each; a doc_id is sampled once for each label, with the least
+of its texts; labels of null language aren't learned. Of more than LANGUAGES languages the most frequent are learned, and
+documents of the others get one of those. doc_id must be castable to long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +28,24 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from tracewright.llm import words as W
-from tracewright.llm.near_duplicates import only
-from tracewright.llm.shared import by_text, strings
+from tracewright.llm.shared import by_text, staged, strings
 
 #: Bounds of the training sample (documents of each language, languages) and of the model (entries).
 SAMPLE, LANGUAGES, ENTRIES = 1500, 200, 150_000
 LENGTHS = (5, 4, 3, 2, 1)
+#: Characters up to which a word is learned as a whole.
+WHOLE = 40
 #: What a word found by n-grams counts for against a known word.
 BACKOFF = 0.5
 SEPARATORS = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
 _LETTER = re.compile(r"[^\W\d_]")
+_APART = re.compile(r"[^\x00-\x7f\w]+")
 
 
-def _lower(column: pa.Array) -> pa.Array:
-    return pa.array([t.lower() for t in strings(column).to_pylist()], pa.string())
+def plain(text: str) -> str:
+    """In lower case, with signs beyond ASCII that no word holds as blanks."""
+    text = text.lower()
+    return text if text.isascii() else _APART.sub(" ", text)
 
 
 def _word_grams(word: str) -> set[str]:
@@ -52,11 +60,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[str, Counter] = {}
         for text, lang in zip(strings(batch.column("text")).to_pylist(), batch.column("lang").to_pylist()):
-            found.setdefault(lang, Counter()).update(w for w in _SPLIT.split(text.lower()) if w and len(w) <= 40)
+            found.setdefault(lang, Counter()).update(w for w in _SPLIT.split(plain(text)) if w)
         rows: Counter = Counter()
         for lang, counts in found.items():
             for word, n in counts.items():
-                rows[lang, f"w{word}"] += n
+                if len(word) <= WHOLE:
+                    rows[lang, f"w{word}"] += n
                 for gram in _word_grams(word):
                     rows[lang, f"g{gram}"] += 1
         yield pa.record_batch([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["lang", "item", "n"])
@@ -79,7 +88,7 @@ class Model:
             own = np.array([x[0] == kind for x in items], bool)
             if own.any():
                 total = counts[own].sum(axis=0)
-                logs[own] = np.log((counts[own] + 0.5) / (total + 0.5 * own.sum()))
+                logs[own] = np.log(counts[own] / np.maximum(total, 1) + 0.5 / max(1, total.max()))
         hashes = W.words(pa.array([x[1:] for x in items], pa.string()), np.zeros(256, bool), lower=False)
         keys = np.zeros(len(items), np.uint64)
         keys[hashes.doc] = hashes.hashes()
@@ -117,11 +126,11 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n, size = len(texts), len(self.languages)
-        lowered = _lower(texts)
-        letters = np.array([bool(_LETTER.search(t)) for t in lowered.to_pylist()], bool)
+        lowered = [plain(t) for t in strings(texts).to_pylist()]
+        letters = np.array([bool(_LETTER.search(t)) for t in lowered], bool)
         if not size:
             return ["und"] * n, np.zeros(n)
-        found = W.words(lowered, SEPARATORS, lower=False)
+        found = W.words(pa.array(lowered, pa.string()), SEPARATORS, lower=False)
         keys, first, back = np.unique(found.hashes(), return_index=True, return_inverse=True)
         rows = self.find(keys)
         logs = np.where(rows[:, None] >= 0, self.logs[rows] if len(self.known) else 0.0, 0.0).astype(np.float64)
@@ -141,23 +150,38 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())], score
 
 
+def sample(labelled: DataFrame, per_language: int, prior: dict[str, int]) -> DataFrame:
+    """(doc_id, lang): of each language in prior per_language documents, those of the lowest hash of doc_id.
+
+    The number of a language's distinct ids, as sketched, gives a hash below which per_language of them lie but for one
+    chance in a billion; only ids below it are ranked, so no task sorts more than about per_language ids of a language.
+    """
+    space = 1 << 32
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(space))
+    ids = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).where(F.col("lang").isin(list(prior)))
+    reach = per_language + 6 * per_language**0.5 + 36
+    limits = F.broadcast(ids.select("lang", F.least(F.lit(space), F.ceil(space * reach / (0.88 * F.col("n")))).alias("limit")))
+    near = labelled.select("doc_id", "lang").join(limits, "lang").where(hashed < F.col("limit")).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Over.partitionBy("lang").orderBy(hashed, "doc_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
+
+
 def train(labelled: DataFrame, per_language: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """A model from labelled (doc_id, text, lang): of each language the per_language documents of the lowest hash.
 
     The sample is at most per_language * LANGUAGES documents, the model at most `entries` words and n-grams, the most
     frequent in the sample.
     """
-    spark = labelled.sparkSession
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
     counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     prior = {r["lang"]: r["count"] for r in counted}
-    ids = labelled.select("doc_id", "lang").where(F.col("lang").isin(list(prior))) if prior else labelled.select("doc_id", "lang")
-    ranked = ids.withColumn("rank", F.row_number().over(Over.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= per_language)
-    sample = only(labelled, ranked.select("doc_id"))
-    counts = sample.select("text", "lang").mapInArrow(_count, "lang string, item string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    items = counts.groupBy("item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("langs")).where("n >= 3").orderBy(F.desc("n"), "item").limit(entries)
-    rows = [(x["lang"], r["item"], x["n"]) for r in items.select("item", "langs").toLocalIterator() for x in r["langs"]] if prior else []
-    del spark
+    if not prior:
+        return Model([], [], {})
+    chosen = staged(sample(labelled, per_language, prior))
+    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    counts = texts.select("text", "lang").mapInArrow(_count, "lang string, item string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
+    items = counts.groupBy("item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("langs")).orderBy(F.desc("n"), "item").limit(entries)
+    rows = [(x["lang"], r["item"], x["n"]) for r in items.select("item", "langs").toLocalIterator() for x in r["langs"]]
     return Model(sorted(prior), rows, prior)
 
 

@@ -1,6 +1,5 @@
 import random
 import re
-import struct
 from collections import defaultdict
 
 import pytest
@@ -34,17 +33,12 @@ def fingerprints(text):
     """Places of a text's fingerprints, word by word."""
     words, hashes = tokens(text), []
     hashes = [hashed(w) for w in words]
-    grams = {}
-    for i in range(len(words) - LEAST + 1):
-        h = 42
-        for x in hashes[i : i + LEAST]:
-            h = xxhash.xxh64_intdigest(struct.pack("<Q", x & ~3), h)
-        grams[i] = h - (1 << 64) if h >> 63 else h
-    anchors = [i for i, h in enumerate(hashes) if h >> 3 & (line_dedup.ANCHOR - 1) == 0]
-    whole = [i for i in anchors if i in grams]
-    found = set(whole) if len(whole) == 1 else set()
-    for a, b in zip(whole, whole[1:]):
-        found |= {x for x in (a, b) if grams[x] == min(grams[a], grams[b])}
+    grams = range(len(words) - LEAST + 1)
+    anchors = [i for i, h in enumerate(hashes) if h >> 3 & 31 < line_dedup.ANCHORS]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    found = set(anchors[:1] + anchors[-1:])
+    for a, b in zip(anchors, anchors[1:]):
+        found |= {x for x in (a, b) if signed[x] == min(signed[a], signed[b])}
     start = 0
     for line in text.split("\n"):
         n = len(tokens(line))
@@ -53,34 +47,35 @@ def fingerprints(text):
         start += n
     marked = set(anchors)
     found |= {i for i in grams if i >= LEAST and sum(k in marked for k in range(i - LEAST, i + 1)) < 2}
-    return {i: tuple(words[i : i + LEAST]) for i in found}
+    return {i: tuple(words[i : i + LEAST]) for i in found if i in grams}
 
 
 def model(rows):
     """Texts after deletion, with loops: rows are (doc, text), one for each doc."""
     rows = sorted((d, t) for d, t in rows if d is not None and t is not None)
     words = {d: tokens(t) for d, t in rows}
-    seen, out, first, runs = {}, {}, {}, defaultdict(set)
+    seen, out, first, matches = {}, {}, {}, defaultdict(dict)
     for d, t in rows:
         if t.strip() and seen.setdefault(t, d) != d:
             out[d] = ""
     for d, t in rows:
         if d not in out:
             for i, gram in sorted(fingerprints(t).items()):
-                d0, i0 = first.setdefault(gram, (d, i))
-                if (d0, i0) != (d, i):
-                    runs[d, d0, i - i0].add(i)
+                place = first.setdefault(gram, (d, i))
+                if place != (d, i):
+                    matches[d][i] = place
     gone = defaultdict(set)
-    for (d, d0, shift), places in runs.items():
-        for i in places:
-            low, high = i, i + LEAST - 1
-            touching = sorted(places)
-            while any(low - LEAST <= p < low for p in touching):
-                low = min(p for p in touching if low - LEAST <= p < low)
-            while any(high - LEAST + 1 < p <= high + 1 for p in touching):
-                high = max(p for p in touching if high - LEAST + 1 < p <= high + 1) + LEAST - 1
-            for step, edge in ((-1, low), (1, high)):
-                at = edge
+    for d, places in matches.items():
+        runs = []
+        for i in sorted(places):
+            if runs and i <= runs[-1][-1] + LEAST:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            low, high = run[0], run[-1] + LEAST - 1
+            for step, edge, i in ((-1, low, run[0]), (1, high, run[-1])):
+                d0, shift, at = places[i][0], i - places[i][1], edge
                 for _ in range(LEAST - 1):
                     at += step
                     if not (0 <= at < len(words[d]) and 0 <= at - shift < len(words[d0]) and words[d][at] == words[d0][at - shift]):

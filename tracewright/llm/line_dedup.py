@@ -1,15 +1,15 @@
 """Operator 2: removal of repeated passages by winnowing. DataFrame functions only.
 
-A passage may begin anywhere in a line, so lines are cut into words. Every run of `least_words` words that begins at an
-anchor (a word whose hash says so, one in four) is hashed; of every two consecutive anchors' hashes the least is a
-fingerprint. So are the runs at the starts of lines of that many words, and those at places before which few anchors stand.
+A passage may begin anywhere in a line, so lines are cut into words. A run of `least_words` words that begins at an
+anchor may be a fingerprint; an anchor is a word whose hash says so, about one in five. Of every two consecutive anchors
+the one of the lower hash is one. So are the runs at the starts of lines of that many words, and those at places before which few anchors stand.
 Hence two copies of a run of 2 * least_words + 1 words or more, and of a whole line of least_words words or more, always
 share a fingerprint; shorter runs down to least_words words do if an anchor's run lies within them.
 
-A fingerprint's place (document, word) is joined with its first place. Matches of one diagonal (the same first document and
-the same distance) that touch are one run, which is then extended both ways, word by word, as long as both places have the
-same words (up to `least_words` - 1 words, beyond which another fingerprint takes over). Later runs are deleted, whatever
-white space stands between their words. So nothing is deleted but runs of least_words words or more that stand, in one
+A fingerprint's place (document, word) is joined with its first place: from there on `least_words` words of both are equal.
+Matches that touch are one run. At either end it is extended, word by word, along the diagonal of its outermost match (the
+first document, and the distance there) as long as both places have the same words, up to `least_words` - 1 words, beyond
+which another fingerprint takes over. Later runs are deleted, whatever white space stands between their words. So nothing is deleted but runs of least_words words or more that stand, in one
 piece, in an earlier document (by doc_id) or earlier in the same one; the earliest always stays. Documents whose whole
 text equals an earlier one's become empty, however few words they have. Shorter repeated runs and lines stay.
 
@@ -34,10 +34,9 @@ from tracewright.llm.near_duplicates import only
 from tracewright.llm.shared import let, staged
 
 LEAST_WORDS = 25
-#: One word in so many is an anchor.
-ANCHOR = 4
+#: So many words in 32 are anchors.
+ANCHORS = 6
 _BLANK = " \t\n\x0b\f\r"
-_BLANKS = r"\s+"
 #: Signs that are words of their own: ideographs, kana, hangul syllables.
 _SIGN = "[⺀-〿぀-鿿가-힯豈-﫿]"
 _AMONG = rf"\s+|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
@@ -46,74 +45,91 @@ _WORD = r"(?<=\S)(?=\s+\S)"
 _WORD_AMONG = rf"{_WORD}|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
 
 
-def _words(text: Column) -> Column:
-    return F.when(text.rlike(_SIGN), F.split(text, _AMONG, -1)).otherwise(F.split(text, _BLANKS, -1))
+def _signs(text: Column) -> Column:
+    return (F.octet_length(text) > F.length(text)) & text.rlike(_SIGN)
+
+
+def _lines(text: Column) -> Column:
+    """The words of each line."""
+    other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    plain = F.when(other, F.regexp_replace(text, r"[\t\r\x0b\f]", " ")).otherwise(text)
+    words = lambda x: F.array_remove(F.split(x, " ", -1), "")
+    among = lambda x: F.array_remove(F.split(x, _AMONG, -1), "")
+    return F.when(_signs(text), F.transform(F.split(text, "\n", -1), among)).otherwise(F.transform(F.split(plain, "\n", -1), words))
 
 
 def _pieces(text: Column) -> Column:
     """The words with the white space that belongs to them."""
-    return F.when(text.rlike(_SIGN), F.split(text, _WORD_AMONG, -1)).otherwise(F.split(text, _WORD, -1))
+    return F.when(_signs(text), F.split(text, _WORD_AMONG, -1)).otherwise(F.split(text, _WORD, -1))
 
 
 def _number(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def _flagged(text: Column, least: int) -> Column:
-    """A hash of each word; its lowest bit tells an anchor, the next the start of a line of `least` words."""
+def _hashes(lines: Column) -> Column:
+    return F.transform(F.flatten(lines), lambda w: F.xxhash64(w))
 
-    def line(words: Column) -> Column:
-        long_line = F.size(words) >= least
-        return F.transform(words, lambda w, i: let(F.xxhash64(w), lambda h: h.bitwiseAND(_number(-4)).bitwiseOR(F.when((i == 0) & long_line, _number(2)).otherwise(_number(0))).bitwiseOR(F.when(F.shiftright(h, 3).bitwiseAND(_number(ANCHOR - 1)) == 0, _number(1)).otherwise(_number(0)))))
 
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != "")
-    return F.flatten(F.transform(lines, lambda x: line(_words(x))))
+def _sums(values: Column, steps: int = 24) -> Column:
+    """Sums of the values before each, by doubling: 2 ** steps values at most."""
+    if not steps:
+        return values
+    half = _sums(values, steps - 1)
+    reach = 1 << (steps - 1)
+    return let(half, lambda v: F.when(F.size(v) > reach, F.transform(v, lambda x, i: x + F.coalesce(F.get(v, i - reach), F.lit(0)))).otherwise(v))
 
 
-def _hashes(text: Column) -> Column:
-    """The words' hashes alone."""
-    return F.transform(_words(F.btrim(text, F.lit(_BLANK))), lambda w: F.xxhash64(w).bitwiseAND(_number(-4)))
+def _line_starts(lines: Column, least: int) -> Column:
+    """The first words of lines of `least` words or more."""
 
+    def starts(counts: Column) -> Column:
+        return let(_sums(counts), lambda s: F.array_compact(F.transform(s, lambda x, i: F.when(F.get(counts, i) >= least, x - F.get(counts, i)))))
 
-def _marked(flagged: Column, bit: int) -> Column:
-    """Places of the words with a flag."""
-    return F.filter(F.transform(flagged, lambda x, i: F.when(x.bitwiseAND(_number(bit)) != 0, i)), lambda i: i.isNotNull())
+    return F.when(F.exists(lines, lambda x: F.size(x) >= least), let(F.transform(lines, lambda x: F.size(x)), starts)).otherwise(F.array().cast("array<int>"))
 
 
-def _selected(flagged: Column, least: int) -> Column:
-    """(pos, h, c) of the fingerprints; pos from 0."""
-    last = F.size(flagged) - least
+def _sparse(anchors: Column, size: Column, least: int) -> Column:
+    """Places with fewer than two anchors among the `least` words before them and themselves."""
 
-    def chosen(hashes: Column, anchors: Column, starts: Column) -> Column:
-        def gram(i: Column) -> Column:
-            return let(F.slice(hashes, i + 1, least), lambda g: F.struct(i.alias("pos"), F.xxhash64(g).alias("h"), F.hash(g).alias("c")))
+    def of(ends: Column) -> Column:
+        def between(end: Column, k: Column) -> Column:
+            low = F.greatest(F.get(ends, k - 1), F.get(ends, k - 2) + (least + 1), F.lit(0))
+            high = F.least(end - 1, size - least)
+            return F.when((k >= 2) & (low <= high), F.struct(low.alias("low"), high.alias("high")))
 
-        def minima(grams: Column) -> Column:
-            def least_of_two(x: Column, k: Column) -> Column:
-                return F.coalesce(x["h"] <= F.get(grams, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] <= F.get(grams, k + 1)["h"], F.lit(False)) | (F.size(grams) == 1)
+        spans = F.array_compact(F.transform(ends, between))
+        return F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))
 
-            return F.filter(grams, least_of_two)
+    return let(F.concat(F.array(F.lit(-1), F.lit(-1)), anchors, F.array(size)), of)
 
-        # places with fewer than two anchors among the `least` words before them and themselves
-        ends = F.concat(F.array(F.lit(-1), F.lit(-1)), anchors, F.array(F.size(flagged)))
 
-        def between(end: Column, k: Column) -> Column:
-            low = F.greatest(F.get(ends, k - 1), F.get(ends, k - 2) + least + 1, F.lit(0))
-            high = F.least(end - 1, last)
-            return F.when((k >= 2) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+def _selected(hashes: Column, starts: Column, least: int) -> Column:
+    """(pos, h, c) of the fingerprints; pos from 0."""
+    last = F.size(hashes) - least
 
-        sparse = F.flatten(F.filter(F.transform(ends, between), lambda x: F.size(x) > 0))
-        more = F.array_distinct(F.concat(F.filter(starts, lambda i: i <= last), sparse))
-        found = let(F.transform(F.filter(anchors, lambda i: i <= last), gram), minima)
-        return F.array_distinct(F.concat(found, F.transform(more, gram)))
+    def minima(anchors: Column) -> Column:
+        def own(i: Column, k: Column) -> Column:
+            h = F.get(hashes, i)
+            return F.when(F.coalesce(h <= F.get(hashes, F.get(anchors, k - 1)), F.lit(True)) | F.coalesce(h <= F.get(hashes, F.get(anchors, k + 1)), F.lit(True)), i)
 
-    both = lambda hashes: let(_marked(flagged, 1), lambda anchors: let(_marked(flagged, 2), lambda starts: chosen(hashes, anchors, starts)))
-    return let(F.transform(flagged, lambda x: x.bitwiseAND(_number(-4))), both)
+        return F.array_compact(F.transform(anchors, own))
+
+    def places(anchors: Column) -> Column:
+        return F.filter(F.array_distinct(F.concat(minima(anchors), starts, _sparse(anchors, F.size(hashes), least))), lambda i: i <= last)
+
+    anchors = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.shiftright(h, 3).bitwiseAND(_number(31)) < ANCHORS, i)))
+    chosen = let(anchors, places)
+    return F.transform(chosen, lambda i: let(F.slice(hashes, i + 1, least), lambda g: F.struct(i.alias("pos"), F.xxhash64(g).alias("h"), F.hash(g).alias("c"))))
 
 
 def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, pos, h, c): the fingerprints of docs (doc_id, text); pos is a word, from 0."""
-    chosen = let(_flagged(F.col("text"), least_words), lambda x: F.when(F.size(x) >= least_words, _selected(x, least_words)))
+
+    def of(lines: Column) -> Column:
+        return let(_hashes(lines), lambda x: F.when(F.size(x) >= least_words, let(_line_starts(lines, least_words), lambda s: _selected(x, s, least_words))))
+
+    chosen = let(_lines(F.col("text")), of)
     return docs.select("doc_id", F.inline(chosen))
 
 
@@ -126,40 +142,41 @@ def _matches(prints: DataFrame) -> DataFrame:
 
 
 def _runs(matches: DataFrame, least: int) -> DataFrame:
-    """(doc_id, first, last, doc0, shift): matches of one diagonal that touch, as one."""
-    diagonal = ["doc_id", "doc0", "shift"]
-    order = Over.partitionBy(*diagonal).orderBy("pos")
-    rows = matches.withColumn("shift", F.col("pos") - F.col("pos0")).withColumn("before", F.lag("pos").over(order))
+    """(doc_id, first, last, left, right): matches that touch, as one run; left and right: the first places (doc0, pos0) that
+    its first and last word have on the diagonals of its first and last match."""
+    order = Over.partitionBy("doc_id").orderBy("pos")
+    rows = matches.withColumn("before", F.lag("pos").over(order))
     rows = rows.withColumn("run", F.sum(F.when(F.col("pos") > F.col("before") + least, 1).otherwise(0)).over(order))
-    return rows.groupBy(*diagonal, "run").agg(F.min("pos").alias("first"), (F.max("pos") + (least - 1)).alias("last")).drop("run")
+    left = F.min(F.struct("pos", "doc0", "pos0"))
+    right = F.max(F.struct("pos", "doc0", "pos0"))
+    runs = rows.groupBy("doc_id", "run").agg(left.alias("l"), right.alias("r"))
+    end = least - 1
+    return runs.select("doc_id", F.col("l.pos").alias("first"), (F.col("r.pos") + end).alias("last"), F.struct(F.col("l.doc0").alias("doc"), F.col("l.pos0").alias("pos")).alias("left"), F.struct(F.col("r.doc0").alias("doc"), (F.col("r.pos0") + end).alias("pos")).alias("right"))
 
 
 def _extended(runs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, first, last): runs, extended both ways along their diagonal."""
+    """(doc_id, first, last): runs, extended both ways along the diagonals of their ends."""
     reach = least - 1
-    sides = [("own", "first"), ("own", "last"), ("other", "first"), ("other", "last")]
-    asks = [F.struct(F.lit(f"{s}_{e}").alias("ask"), F.col("doc_id" if s == "own" else "doc0").alias("at"), F.lit(e == "last").alias("after"), (F.col(e) if s == "own" else F.col(e) - F.col("shift")).alias("word")) for s, e in sides]
-    asked = runs.withColumn("a", F.explode(F.array(*asks))).select(*runs.columns, "a.*")
-    places = asked.select("at", "after", "word").distinct().groupBy("at").agg(F.collect_list(F.struct("after", "word")).alias("places"))
-    places = staged(places.select(F.col("at").alias("doc_id"), "places"))
+    ends = F.explode(F.array(*(F.struct(F.lit(after).alias("after"), F.col(edge).alias("pos"), F.col(side).alias("other")) for after, edge, side in ((False, "first", "left"), (True, "last", "right")))))
+    ends = staged(runs.select("doc_id", "first", ends.alias("e")).select("doc_id", "first", "e.after", "e.pos", F.col("e.other.doc").alias("doc0"), F.col("e.other.pos").alias("pos0")))
+    asked = ends.select(F.col("doc_id").alias("at"), "after", "pos").union(ends.select("doc0", "after", "pos0")).distinct()
+    places = staged(asked.groupBy(F.col("at").alias("doc_id")).agg(F.collect_list(F.struct("after", "pos")).alias("places")))
 
     def around(hashes: Column) -> Column:
         def one(p: Column) -> Column:
-            low = F.greatest(p["word"] - reach, F.lit(0))
-            words = F.when(p["after"], F.slice(hashes, p["word"] + 2, reach)).otherwise(F.reverse(F.slice(hashes, low + 1, p["word"] - low)))
-            return F.struct(p["after"].alias("after"), p["word"].alias("word"), words.alias("words"))
+            low = F.greatest(p["pos"] - reach, F.lit(0))
+            words = F.when(p["after"], F.slice(hashes, p["pos"] + 2, reach)).otherwise(F.reverse(F.slice(hashes, low + 1, p["pos"] - low)))
+            return F.struct(p["after"].alias("after"), p["pos"].alias("pos"), words.alias("words"))
 
         return F.transform("places", one)
 
     texts = only(docs, places.select("doc_id"))
-    words = staged(texts.join(places, "doc_id").select(F.col("doc_id").alias("at"), F.inline(let(_hashes(F.col("text")), around))))
-    found = asked.join(words, ["at", "after", "word"]).groupBy(*runs.columns).agg(*(F.max(F.when(F.col("ask") == f"{s}_{e}", F.col("words"))).alias(f"{s}_{e}") for s, e in sides))
-
-    def alike(end: str) -> Column:
-        same = F.zip_with(f"own_{end}", f"other_{end}", lambda x, y: x.eqNullSafe(y))
-        return let(F.array_position(same, False), lambda k: F.when(k > 0, k - 1).otherwise(F.size(f"own_{end}"))).cast("int")
-
-    return found.select("doc_id", (F.col("first") - alike("first")).alias("first"), (F.col("last") + alike("last")).alias("last"))
+    words = staged(texts.join(places, "doc_id").select(F.col("doc_id").alias("at"), F.inline(let(_hashes(_lines(F.col("text"))), around))))
+    own = ends.join(words.select(F.col("at").alias("doc_id"), "after", "pos", F.col("words").alias("own")), ["doc_id", "after", "pos"])
+    both = own.join(words.select(F.col("at").alias("doc0"), "after", F.col("pos").alias("pos0"), F.col("words").alias("other")), ["doc0", "after", "pos0"])
+    alike = let(F.array_position(F.zip_with("own", "other", lambda x, y: x.eqNullSafe(y)), False), lambda k: F.when(k > 0, k - 1).otherwise(F.size("own"))).cast("int")
+    edge = F.when(F.col("after"), F.col("pos") + alike).otherwise(F.col("pos") - alike)
+    return both.select("doc_id", F.col("first").alias("run"), edge.alias("edge")).groupBy("doc_id", "run").agg(F.min("edge").alias("first"), F.max("edge").alias("last")).drop("run")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

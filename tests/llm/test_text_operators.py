@@ -1,8 +1,6 @@
 import base64
-import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracewright.llm import bpe, licenses, packing, personal, quality, toxicity
+from tracewright.llm import bpe, licenses, packing, quality, toxicity
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -219,56 +217,3 @@ def test_quality_bands_reject_what_the_vocabulary_cannot_read(spark, corpus):
     rows = quality.judged(spark.createDataFrame(plain + odd, "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()
     assert all(r.kept for r in rows if r.doc_id < 1000)
     assert [r.outside for r in rows if r.doc_id == 1000][0]
-
-
-# personal data
-
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
-def plain_spans(text):
-    out = []
-    for kind, pattern in PATTERNS.items():
-        for m in re.finditer(pattern, text or ""):
-            digits = re.sub("[^0-9]", "", m.group())
-            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
-                continue
-            if kind == "card" and not (16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0):
-                continue
-            if kind == "phone" and not 8 <= len(digits) <= 15:
-                continue
-            out.append((kind, m.start(), m.end()))
-    return out
-
-
-@settings(max_examples=500, deadline=None)
-@given(st.one_of(st.text("a1.@-+ ()\n", max_size=60), st.text("0123456789 -.", max_size=60), st.text(max_size=40)))
-def test_base_spans_equal_the_patterns(text):
-    assert personal.base_spans(text) == plain_spans(text)
-
-
-def test_personal_data_of_a_table(docs, corpus, none):
-    rows = {r.doc_id: r for r in personal.found(docs).collect()}
-    for doc, text, *_ in corpus:
-        assert [(s.kind, s.start, s.end) for s in rows[doc].spans if s.kind != "id"] == plain_spans(text)
-        assert all(s.text == text[s.start : s.end] for s in rows[doc].spans)
-    assert personal.found(none).collect() == []
-
-
-def test_contexts_of_seeds_discover_unseen_identifiers(spark):
-    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(12)]
-    rows = [(i, f"some text{i} token = \"{k}\" and more") for i, k in enumerate(keys)]
-    rows += [(50, 'here token = "QX-77-unseen" too'), (51, "order number 123456 shipped"), (52, None)]
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in personal.found(docs).collect()}
-    assert got[50] == [("id", "QX-77-unseen")] and got[51] == [] and got[3] == [("id", keys[3])]
-    plain = {r.doc_id: r for r in personal.redacted(docs).collect()}
-    assert plain[50].text == 'here token = "[ID]" too' and plain[50].n_chars == len(plain[50].text)
-    assert plain[52].text is None and plain[52].n_chars == 7
-    held, personal.BROADCAST_PATTERNS = personal.BROADCAST_PATTERNS, -1
-    try:
-        joined = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in personal.found(docs).collect()}
-    finally:
-        personal.BROADCAST_PATTERNS = held
-    assert joined == got
-    assert zlib.crc32(b"") == 0

@@ -99,15 +99,20 @@ def spans(apart: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What hashes of stretches of the bytes are taken from."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _powers(_BASE, len(data) + 1)[: len(data)], out=sums[1:])
+    return sums
+
+
 def words(column: pa.Array, separators: np.ndarray = SPACES, lower: bool = True) -> Words:
     """The words of a string column: stretches without separator bytes; A-Z in lower case if asked for."""
     data, offsets = raw(column)
     if lower:
         data = LOWER[data]
     starts, ends = spans(separators[data], offsets)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _powers(_BASE, len(data) + 1)[: len(data)], out=sums[1:])
-    return Words(data, offsets, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, sums)
+    return Words(data, offsets, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, prefix_sums(data))
 
 
 _SHINGLE = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)

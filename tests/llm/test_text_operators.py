@@ -1,5 +1,6 @@
 import base64
 import math
+import random
 import re
 from collections import Counter
 
@@ -115,38 +116,51 @@ def places(text, phrases):
     return words, sorted(found)
 
 
-def containing_blocks(words, templates, threshold, longest):
+def containing_blocks(words, templates, threshold):
     out = set()
     for name, text in templates.items():
-        own = set(text.split())
-        for start in range(0, max(1, len(words)), longest):
-            block = words[start : start + 2 * longest]
-            if start and len(words) <= start + longest:
+        own, step = set(text.split()), len(text.split())
+        for start in range(0, max(1, len(words)), max(1, step)):
+            block = words[start : start + 2 * step]
+            if start and len(words) <= start + step:
                 continue
-            if block and len(own & set(block)) >= math.ceil(threshold * len(own) - 1e-9):
-                out.add((name, start))
+            common = len(own & set(block))
+            if block and common >= max(1, math.ceil(threshold * len(own) - 1e-9)):
+                out.add((name, start, len(block), common / len(own)))
     return out
 
 
 def test_license_places_and_blocks_equal_brute_force(docs, corpus, none):
     rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    longest = max(len(t.split()) for t in licenses.TEMPLATES.values())
     for doc, text, *_ in corpus:
         words, want = places(text, licenses.PHRASES)
         assert rows[doc].n_words == len(words)
         assert sorted((p.label, p.word) for p in rows[doc].places) == want
-        assert {(b.template, b.word) for b in rows[doc].blocks} == containing_blocks(words, licenses.TEMPLATES, 0.9, longest)
+        assert {(b.template, b.word, b.words, b.containment) for b in rows[doc].blocks} == containing_blocks(words, licenses.TEMPLATES, 0.9)
     assert any(r.blocks for r in rows.values())
     assert licenses.scan(none).collect() == []
 
 
-def test_templates_over_block_edges_are_found(spark):
+def test_random_blocks_equal_brute_force_and_every_filter_rejects(spark):
+    rng = random.Random(2)
+    templates = {"a": "alpha beta gamma delta epsilon zeta eta theta", "b": "one two three four five", "c": "alpha one omega", "none": "", "d": "rare seldom alpha beta one two"}
+    names = sorted({w for t in templates.values() for w in t.split()})
+    rows = [(i, " ".join(rng.choice(names[:10] if i % 3 else [*names, "filler", "more"]) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for threshold in (0.5, 0.8, 1.0):
+        got = {r.doc_id: {(b.template, b.word, b.words, b.containment) for b in r.blocks} for r in licenses.scan(frame, templates, threshold=threshold).collect()}
+        assert got == {d: containing_blocks(t.split(), {k: v for k, v in templates.items() if v}, threshold) for d, t in rows}
+    left = {r["filter"]: r["blocks"] for r in licenses.filtered(frame, templates, 0.8).collect()}
+    assert left["blocks"] > left["length"] > left["prefix"] > left["position"] > left["matched"] > 0
+
+
+def test_templates_over_block_edges_are_found_and_scattered_words_are_not(spark):
     filler = "zu " * 37
     text = (filler + " " + licenses.TEMPLATES["mit-grant"] + " ") * 5
-    rows = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    longest = max(len(t.split()) for t in licenses.TEMPLATES.values())
-    assert {(b.template, b.word) for b in rows.blocks} == containing_blocks(text.split(), licenses.TEMPLATES, 0.9, longest)
-    assert "mit-grant" in {b.template for b in rows.blocks}
+    apart = " ".join(w + " zu" * 9 for w in licenses.TEMPLATES["mit-short"].split())
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(1, text), (2, apart)], "doc_id long, text string")).collect()}
+    assert {(b.template, b.word, b.words, b.containment) for b in rows[1].blocks} == containing_blocks(text.split(), licenses.TEMPLATES, 0.9)
+    assert "mit-grant" in {b.template for b in rows[1].blocks} and rows[2].blocks == []
 
 
 # toxicity

@@ -1,21 +1,26 @@
 """Operator 5: license scans by an exact set-similarity join of text blocks with license templates.
 
-Blocks are runs of words, each overlapping the next by half, so long that every stretch of a template's length lies inside
-one. A block matches a template if it holds at least `threshold` of the template's distinct words. Tokens are ordered by
-how many documents they stand in, over the whole corpus, rarest first. A block with too few of the template's words to
-match must lack its whole prefix (the rarest size - needed + 1 words), so only blocks that hold a prefix word are candidates;
-a block of too few words is out by length; and the place of the first prefix word bounds what can still match (the rarer
-words are missing). What is left is counted in full, so no matching block is missed.
+For each template a text is cut into blocks twice as long as the template, each overlapping the next by half, so that every
+stretch of the template's length lies inside one. A block matches a template if it holds at least `threshold` of the
+template's distinct words. Tokens are ordered by how many documents they stand in, over the whole corpus, rarest first.
+Length filter: a block of too few words is out. Prefix filter: a block with enough of the template's words must hold one of
+its size - needed + 1 rarest, so only blocks that do are candidates. Positional filter: from the first token that both
+hold on, in that order, both must have `needed` tokens left; a block's tokens are those that any template holds, without which
+it can't match. What is left is counted in full, so no matching block is missed. `filtered` tells how many blocks each
+filter left.
 
 Phrases are found where their words stand consecutively, by hash and then by their bytes.
 
 Defined results: null or empty text: no words, no places, no labels, score 0. Words are compared after A-Z are put in
 lower case. Places may overlap; every one counts. Repeated rows give one row each. An empty corpus gives no rows, and
-frequencies of 0, which keep the templates' own order.
+frequencies of 0, which keep the templates' own order. Templates without words match nothing. Templates travel to the
+executors, so there may be at most TEMPLATE_WORDS words in all of them; more raise ValueError. doc_id must be castable to
+long; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,35 +53,43 @@ TEMPLATES = {
 }
 
 
+#: Words of all templates together, at most.
+TEMPLATE_WORDS = 1 << 20
+
+
 def _words_of(texts: list[str]) -> W.Words:
     return W.words(pa.array(texts, pa.string()), W.NOT_ALNUM)
 
 
 @dataclass
 class Templates:
-    """vocabulary: sorted hashes of all templates' words. sets: of each template its words, as places in vocabulary, rarest
-    in the corpus first. needed: how many of them a block must hold."""
+    """vocabulary: sorted hashes of all templates' words. order: rank of each in the corpus, rarest first. sets: of each
+    template its words, as places in vocabulary, in that order. needed: how many of them a block must hold. lengths: words of
+    each template."""
 
     names: list[str]
     vocabulary: np.ndarray
+    order: np.ndarray
     sets: list[np.ndarray]
     needed: list[int]
-    block: int
-    step: int
+    lengths: list[int]
 
     @classmethod
     def build(cls, templates: dict[str, str], frequencies: dict[int, int], threshold: float) -> Templates:
         names = sorted(templates)
         found = _words_of([templates[x] for x in names])
-        hashes = found.hashes()
+        hashes, lengths = found.hashes(), found.counts().tolist()
+        if len(hashes) > TEMPLATE_WORDS:
+            raise ValueError(f"templates of {len(hashes)} words; {TEMPLATE_WORDS} at most")
         vocabulary = np.unique(hashes)
-        often = np.array([frequencies.get(int(h), 0) for h in vocabulary.view(np.int64)] or [0])
+        often = np.array([frequencies.get(int(h), 0) for h in vocabulary.view(np.int64)], np.int64)
+        order = np.empty(len(vocabulary), np.int64)
+        order[np.lexsort((vocabulary, often))] = np.arange(len(vocabulary))
         sets = []
         for i in range(len(names)):
             own = np.unique(np.searchsorted(vocabulary, hashes[found.doc == i]))
-            sets.append(own[np.lexsort((vocabulary[own], often[own]))])
-        longest = int(found.counts().max()) if names else 1
-        return cls(names, vocabulary, sets, [int(np.ceil(threshold * len(s) - 1e-9)) for s in sets], 2 * longest, longest)
+            sets.append(own[np.argsort(order[own])])
+        return cls(names, vocabulary, order, sets, [max(1, int(np.ceil(threshold * len(s) - 1e-9))) for s in sets], lengths)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word in the vocabulary, or -1."""
@@ -85,45 +98,67 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
-    def matches(self, found: W.Words) -> list[tuple[int, int, int, int, float]]:
-        """(text, template, first word, words, containment) of each matching block."""
+    def matches(self, found: W.Words, tally: Counter | None = None) -> list[tuple[int, int, int, int, float]]:
+        """(text, template, first word, words, containment) of each matching block. tally counts what each filter left."""
+        tally = Counter() if tally is None else tally
         place, counts, first = self.places(found.hashes()), found.counts(), found.first()
         known = np.flatnonzero(place >= 0)
-        inside = known - first[found.doc[known]]
-        # a word stands in the block that starts at or before it, and in the one before unless it is in the first half step
-        here, docs, tokens = [], [], []
-        for back in range(2):
-            number = inside // self.step - back
-            own = (number >= 0) & ((number == 0) | (counts[found.doc[known]] > (number + 1) * self.step))
-            here.append(number[own])
-            docs.append(found.doc[known][own])
-            tokens.append(place[known][own])
-        docs, here, tokens = (np.concatenate(x) for x in (docs, here, tokens))
-        width = int(here.max()) + 1 if len(here) else 1
-        blocks = np.unique((docs * width + here) * len(self.vocabulary) + tokens)
-        keys, tokens = blocks // max(1, len(self.vocabulary)), blocks % max(1, len(self.vocabulary))
+        if not len(known):
+            return []
+        doc, rank = found.doc[known], self.order[place[known]]
+        inside = known - first[doc]
         out = []
-        for t, own in enumerate(self.sets):
+        for t, (own, step) in enumerate(zip(self.sets, self.lengths)):
             size, needed = len(own), self.needed[t]
-            rank = np.full(len(self.vocabulary), size)
-            rank[own] = np.arange(size)
-            place_in = rank[tokens]
-            prefix = place_in < size - needed + 1
-            if not prefix.any():
+            if not size:
                 continue
-            candidates, at = np.unique(keys[prefix], return_inverse=True)
-            lowest = np.full(len(candidates), size)
-            np.minimum.at(lowest, at, place_in[prefix])
-            doc, number = candidates // width, candidates % width
-            length = np.minimum(counts[doc] - number * self.step, self.block)
-            candidates = candidates[(length >= needed) & (size - lowest >= needed)]
-            chosen = np.isin(keys, candidates) & (place_in < size)
-            matched, n = np.unique(keys[chosen], return_counts=True)
-            for key, common in zip(matched[n >= needed].tolist(), n[n >= needed].tolist()):
-                doc, number = divmod(key, width)
-                out.append((doc, t, number * self.step, int(min(counts[doc] - number * self.step, self.block)), common / size))
+            place_in = np.full(len(self.vocabulary), size)
+            place_in[self.order[own]] = np.arange(size)
+            # texts with no word of the prefix hold no candidate
+            prefix = place_in[rank] < size - needed + 1
+            some = np.isin(doc, doc[prefix])
+            keys, tokens = self._blocks(doc[some], inside[some], rank[some], counts, step)
+            if not len(keys):
+                continue
+            # blocks' distinct tokens, rarest first; `left`: how many the block has from each on
+            blocks, start, n = np.unique(keys, return_index=True, return_counts=True)
+            block = np.repeat(np.arange(len(blocks)), n)
+            left = n[block] - (np.arange(len(keys)) - start[block])
+            common = place_in[tokens] < size
+            earliest = np.full(len(blocks), len(keys))
+            np.minimum.at(earliest, block[common], np.flatnonzero(common))
+            hit = earliest < len(keys)
+            at = np.minimum(earliest, len(keys) - 1)
+            width = int(inside[some].max()) // step + 2
+            length = np.minimum(counts[blocks // width] - blocks % width * step, 2 * step)
+            long_enough = hit & (length >= needed)
+            by_prefix = long_enough & (place_in[tokens[at]] < size - needed + 1)
+            by_place = by_prefix & (left[at] >= needed)
+            shared = np.bincount(block[common], minlength=len(blocks))
+            matched = by_place & (shared >= needed)
+            for name, kept in (("blocks", hit), ("length", long_enough), ("prefix", by_prefix), ("position", by_place), ("matched", matched)):
+                tally[name] += int(kept.sum())
+            for k in np.flatnonzero(matched).tolist():
+                out.append((int(blocks[k] // width), t, int(blocks[k] % width) * step, int(length[k]), int(shared[k]) / size))
         return out
 
+    @staticmethod
+    def _blocks(doc: np.ndarray, inside: np.ndarray, rank: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, token) of the distinct tokens of each block of 2 * step words, in this order. A word stands in the block
+        that starts at or before it, and in the one before unless it is in the first half step."""
+        keys, tokens, width = [], [], int(inside.max(initial=0)) // step + 2
+        for back in range(2):
+            number = inside // step - back
+            own = (number >= 0) & ((number == 0) | (counts[doc] > (number + 1) * step))
+            keys.append(doc[own] * width + number[own])
+            tokens.append(rank[own])
+        keys, tokens = np.concatenate(keys), np.concatenate(tokens)
+        order = np.lexsort((tokens, keys))
+        keys, tokens = keys[order], tokens[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (tokens[1:] != tokens[:-1])
+        return keys[new], tokens[new]
+
 
 def phrase_places(found: W.Words, phrase: str) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word from 0) of each place of the phrase."""
@@ -159,6 +194,20 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[int, int]:
 SCHEMA = "doc_id long, n_words long, places array<struct<label: string, word: long>>, blocks array<struct<template: string, word: long, words: long, containment: double>>"
 
 
+def filtered(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
+    """(filter, blocks): how many pairs of block and template hold a common word (`blocks`), and how many each filter left."""
+    docs, templates = docs.select(F.col("text").cast("string").alias("text")), TEMPLATES if templates is None else templates
+    built = Templates.build(templates, frequencies(docs, templates), threshold)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tally: Counter = Counter()
+        built.matches(W.words(strings(batch.column("text")), W.NOT_ALNUM), tally)
+        return pa.record_batch({"filter": pa.array(list(tally), pa.string()), "blocks": pa.array(list(tally.values()), pa.int64())})
+
+    rows = docs.mapInArrow(lambda batches: by_text(batches, "text", work), "filter string, blocks long")
+    return rows.groupBy("filter").agg(F.sum("blocks").alias("blocks"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
     """Of docs (doc_id, text): n_words, places (label, first word) of the phrases, blocks (template, first word, words,
     containment) that match the templates."""

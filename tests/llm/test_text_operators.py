@@ -65,7 +65,7 @@ def least_cost(at, penalty, length):
         for j in range(i):
             size = at[i] - at[j]
             if size <= length:
-                choices.append(best[j] + penalty[i] + (0 if size & (size - 1) == 0 else length - size))
+                choices.append(best[j] + packing.SEQUENCE + penalty[i] + (0 if size & (size - 1) == 0 else length - size))
         best.append(min(choices))
     return best
 
@@ -82,6 +82,56 @@ def test_plan_has_the_least_cost(steps):
     assert all(0 <= j < i for i, j in enumerate(back) if i)
 
 
+def cost_of(cuts, at, penalty, length):
+    price = dict(zip(at.tolist(), penalty.tolist()))
+    sizes = np.diff(cuts)
+    assert cuts[0] == 0 and all(0 < x <= length for x in sizes.tolist()) and all(c in price for c in cuts)
+    return sum(packing.SEQUENCE + price[c] + (0 if x & (x - 1) == 0 else length - x) for x, c in zip(sizes.tolist(), cuts[1:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_task_s_plan_is_the_best_of_the_whole_task(monkeypatch, seed):
+    """Tokens handed over in blocks are cut as well as if all were there at once; ids below 3 end a sentence."""
+    monkeypatch.setattr(packing, "LONG", 12)
+    monkeypatch.setattr(packing, "EVERY", 5)
+    rng = np.random.default_rng(seed)
+    ends = np.arange(100) < (3 if seed % 2 else 1)
+    docs = [rng.integers(0, 100, rng.integers(1, 90)) for _ in range(60)]
+    ids, doc_ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    at, penalty = packing.candidates(ids, doc_ends, ends)
+    whole = packing.split(ids, doc_ends, ends, 32, True)
+    best = packing.plan(at.tolist(), penalty.tolist(), 32)[0][-1]
+    assert cost_of(whole, at, penalty, 32) == best == pytest.approx(least_cost(at.tolist(), penalty.tolist(), 32)[-1])
+    cuts, done = [0], 0
+    for stop in [*range(40, len(ids), 40), len(ids)]:
+        mine = doc_ends[(doc_ends > done) & (doc_ends <= stop)] - done
+        found = packing.split(ids[done:stop], mine, ends, 32, stop == len(ids))
+        cuts += [done + c for c in found[1:]]
+        done += found[-1]
+    assert cuts[-1] == len(ids) and cost_of(cuts, at, penalty, 32) == best
+
+
+def test_packed_texts_over_blocks_and_how_pieces_end(spark, monkeypatch):
+    text = "One two three four. Five six seven!\n" * 60
+    rows = [(i, text[: 50 * (i % 40)] if i % 7 else None) for i in range(200)] + [(None, "no id"), (500, "x" * 40_000), (501, text * 200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as ids", "1 as piece_end").repartition(2)
+    got = packed(frame)
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    sizes = {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows}
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+        assert r.piece_end == "document" if r.start + r.length == r.doc_tokens else r.piece_end in ("sentence", "inside")
+    assert {d: sum(r.length for r in own) for d, own in by.items()} == sizes
+    held = Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    padding = sum(2048 - n for n in held.values() if n & (n - 1))
+    assert padding < 0.01 * sum(held.values()) + 2 * 2048
+    # single sentences are cut only where they are longer than LONG tokens
+    assert {r.doc_id for r in got if r.piece_end == "inside"} <= {500}
+
+
 # byte-level BPE
 
 

@@ -25,19 +25,18 @@ from documents d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_i
 
 def licenses(threshold: float = 0.9) -> str:
     """Every block against every template."""
-    longest = max(len(t.split()) for t in TEMPLATES.values())
     sets = {name: sorted(set(text.split())) for name, text in TEMPLATES.items()}
-    rows = ", ".join(f"('{name}', {own!r}, {math.ceil(threshold * len(own) - 1e-9)})" for name, own in sets.items())
-    block = f"list_intersect(list_distinct(w[k0 + 1:k0 + {2 * longest}]), own)"
+    rows = ", ".join(f"('{name}', {own!r}, {math.ceil(threshold * len(own) - 1e-9)}, {len(TEMPLATES[name].split())})" for name, own in sets.items())
+    block = "list_intersect(list_distinct(w[k0 + 1:k0 + 2 * step]), own)"
     return rf"""with w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
     p as (select doc_id, w,
         list_filter(generate_series(1, len(w)), lambda i: w[i] = 'gnu' and w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as gpl,
         list_filter(generate_series(1, len(w)), lambda i: w[i] = 'apache' and w[i + 1] = 'license') as apache,
         list_filter(generate_series(1, len(w)), lambda i: w[i] = 'cc' and w[i + 1] = 'by') as cc,
         list_filter(generate_series(1, len(w)), lambda i: w[i] = 'mit' and w[i + 1] = 'license') as mit from w),
-    b as (select doc_id, w, unnest(generate_series(0, greatest(len(w) - 1, 0), {longest})) as k0 from w),
-    t(name, own, needed) as (values {rows}),
-    m as (select doc_id, name, max(len({block}) / len(own)) as share from b, t where (k0 = 0 or len(w) > k0 + {longest}) and len({block}) >= needed group by doc_id, name),
+    t(name, own, needed, step) as (values {rows}),
+    b as (select doc_id, w, name, own, needed, step, unnest(generate_series(0, greatest(len(w) - 1, 0), step)) as k0 from w, t),
+    m as (select doc_id, name, max(len({block}) / len(own)) as share from b where (k0 = 0 or len(w) > k0 + step) and len({block}) >= needed group by doc_id, name),
     l as (select doc_id, list(name) as names, max(share) as share from m group by doc_id),
     a as (select doc_id, len(w) as n_words, list_concat(list_concat(gpl, apache), list_concat(cc, mit)) as places,
         list_filter([case when len(apache) > 0 then 'apache' end, case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end, case when len(mit) > 0 then 'mit' end], lambda x: x is not null) as labels from p)

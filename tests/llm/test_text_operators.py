@@ -216,36 +216,60 @@ def test_templates_over_block_edges_are_found_and_scattered_words_are_not(spark)
 # toxicity
 
 
-def test_machine_learns_pairs_that_no_sum_of_weights_can(spark, none):
+def of_pairs(spark):
     rows, labels = [], []
     for i in range(400):
         a, b = i % 2, i // 2 % 2
         rows.append((i, f"{'insult' if a else 'praise'} filler {'group' if b else 'thing'} word{i % 7}"))
         labels.append((i, int(a == b)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
-    held = toxicity.CHANCE
-    toxicity.CHANCE = -1.0
-    try:
-        machine = toxicity.train(docs, labelled)
-    finally:
-        toxicity.CHANCE = held
+    return spark.createDataFrame(rows, "doc_id long, text string"), labels
+
+
+def right(docs, machine, labels):
     got = {r.doc_id: r.score for r in toxicity.scored(docs, machine).collect()}
-    right = sum((got[i] >= 0.5) == bool(toxic) for i, toxic in labels)
-    assert right >= 380
+    return sum((got[i] >= 0.5) == bool(toxic) for i, toxic in labels)
+
+
+def test_pairs_are_learned_that_no_sum_of_weights_can_tell(spark, none, monkeypatch):
+    docs, labels = of_pairs(spark)
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, labelled)
+    assert right(docs, machine, labels) >= 380
     assert toxicity.scored(none, machine).collect() == []
+    monkeypatch.setattr(toxicity, "RANK", 0)
+    assert right(docs, toxicity.train(docs, labelled), labels) <= 300
 
 
-def test_pairs_are_learned_with_the_production_parameters(spark):
-    rows, labels = [], []
-    for i in range(400):
-        a, b = i % 2, i // 2 % 2
-        rows.append((i, f"{'insult' if a else 'praise'} filler {'group' if b else 'thing'} word{i % 7}"))
-        labels.append((i, int(a == b)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    got = {r.doc_id: r.score for r in toxicity.scored(docs, machine).collect()}
-    assert sum((got[i] >= 0.5) == bool(toxic) for i, toxic in labels) >= 380
+def test_the_sample_is_bounded_under_repeated_ids_and_missing_documents(spark):
+    docs, labels = of_pairs(spark)
+    docs = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", "text")).unionByName(spark.createDataFrame([(3, "zz other"), (None, "x")], "doc_id long, text string"))
+    labelled = spark.createDataFrame([*labels, *labels, *((10_000 + i, 1) for i in range(300)), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    held = toxicity.fit
+
+    def kept(known, rows, labels):
+        seen.append((len(rows), labels.mean()))
+        return held(known, rows, labels)
+
+    toxicity.fit = kept
+    try:
+        machine = toxicity.train(docs, labelled, per_class=2000)
+        toxicity.train(docs, labelled, per_class=50)
+    finally:
+        toxicity.fit = held
+    assert seen[0] == (400, 0.5) and seen[1][0] <= 100
+    assert right(docs, machine, labels) >= 380
+
+
+def test_held_out_labels_are_told(spark):
+    small = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{small}/labels.parquet").where("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "toxic")
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    machine = toxicity.train(documents, spark.read.parquet(f"{small}/labels.parquet").where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    rows = toxicity.scored(documents.join(truth, "doc_id"), machine).join(truth, "doc_id").collect()
+    caught = sum(r.score >= 0.5 for r in rows if r.toxic == 1)
+    spared = sum(r.score < 0.5 for r in rows if r.toxic == 0)
+    assert caught >= 0.85 * sum(r.toxic == 1 for r in rows) and spared >= 0.99 * sum(r.toxic == 0 for r in rows)
 
 
 def test_toxicity_without_labels_and_with_odd_texts(docs, spark):

@@ -9,7 +9,8 @@ is fitted by Adagrad on the driver, from the features alone.
 
 Defined results: null or empty text: the score of a text without any feature. Without labelled rows of both classes the
 score is the share of label 1 (0.5 if there are no labels). Repeated rows give one row each. Ties at the limit of features
-go to the lower hash. A doc_id labelled twice is sampled once for each label.
+go to the lower hash. A doc_id labelled twice is sampled once for each label, one with several texts with the least of them;
+labels without a document don't count. doc_id must be castable to long; other columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import words as W
-from tracewright.llm.near_duplicates import only
 from tracewright.llm.shared import by_text, staged, strings
 
 #: Bounds: labelled documents of each class in the sample, and features.
@@ -166,8 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features:
     if not sample:
         return fit(np.zeros(0, np.uint64), [], np.zeros(0))
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in sample], "doc_id long, toxic int")
-    texts = staged(only(docs, chosen).join(F.broadcast(chosen), "doc_id"))
-    n1, n0 = (float(sum(r["toxic"] == label for r in sample)) for label in (1, 0))
+    texts = staged(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    there = {r["toxic"]: float(r["count"]) for r in texts.groupBy("toxic").count().collect()}
+    n1, n0 = there.get(1, 0.0), there.get(0, 0.0)
+    if not there:
+        return fit(np.zeros(0, np.uint64), [], np.array([r["toxic"] for r in sample], np.float64))
     tallied = texts.mapInArrow(_tallied, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     mean = (F.col("a") + F.col("b")) / (n1 + n0)
 

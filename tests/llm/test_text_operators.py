@@ -290,18 +290,75 @@ def brute(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+VOCABULARIES = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+def expected(rows, least=100, width=3.0, settled=400):
+    """Verdicts from (doc, text, lang), with loops and sorted lists."""
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARIES[1], "rb"))}
+    bpe_of = tiktoken.Encoding("r", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    names = {v: k for k, v in ranks.items()}
+
+    def measures(text):
+        out = []
+        for ids, part, size in ((pieces.encode(text), pieces.is_byte, pieces.get_piece_size()), (bpe_of.encode_ordinary(text), lambda i: "\ufffd" in names[i].decode("utf-8", "replace") and "\ufffd" not in text, len(ranks))):
+            n = len(ids)
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else 0.0
+            out += [len(text) / n, sum(map(part, ids)) / n, entropy / math.log2(max(2, min(n, size)))] if n else [0.0] * 3
+        return out
+
+    seen = []
+    for doc, text, lang in rows:
+        n, _, _, _, repeated = brute(text)
+        seen.append((doc, lang, quality.script(text or ""), n, n < 50 or 100 * repeated > 50 * n, measures(text or "")))
+
+    def quartiles(group, k):
+        steps = sorted(math.floor(x[5][k] * quality.STEPS) for x in group)
+        return len(steps), *(next(v for i, v in enumerate(steps, 1) if i >= q * len(steps)) / quality.STEPS for q in (0.25, 0.75))
+
+    out = {}
+    good = [x for x in seen if not x[4]]
+    for doc, lang, script, n, failed, values in seen:
+        outside = []
+        own = [x for x in good if x[1:3] == (lang, script)]
+        for k, (m, margin) in enumerate(quality.MEASURES.items()):
+            if not own:
+                continue
+            a, b, c = (quartiles(g, k) for g in (own, [x for x in good if x[2] == script], good))
+            ends = []
+            for e in (1, 2):
+                wide = (b[e] * b[0] + c[e] * least) / (b[0] + least)
+                ends.append((a[e] * a[0] + wide * least) / (a[0] + least))
+            reach = max(margin, width * (ends[1] - ends[0]) * max(1, math.sqrt(settled / max(n, 1))))
+            if not ends[0] - reach <= values[k] <= ends[1] + reach:
+                outside.append(m)
+        out[doc] = (failed, outside, not failed and not outside, values)
+    return out
+
+
 def test_quality_counts_equal_brute_force(docs, corpus, none):
-    rows = {r.doc_id: r for r in quality.judged(docs, P.path("piece_bpe_32k.model")).collect()}
+    rows = {r.doc_id: r for r in quality.judged(docs, *VOCABULARIES).collect()}
     for doc, text, *_ in corpus:
         r, want = rows[doc], brute(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r.base_failed or not r.kept)
-    assert quality.judged(none, P.path("piece_bpe_32k.model")).collect() == []
-
-
-def test_quality_bands_reject_what_the_vocabulary_cannot_read(spark, corpus):
-    plain = [(i, corpus[-2][1][i * 20 : i * 20 + 900]) for i in range(300)]
-    odd = [(1000, " ".join(chr(0x1F600 + i) + chr(0x1F300 + i) for i in range(60)))]
-    rows = quality.judged(spark.createDataFrame(plain + odd, "doc_id long, text string"), P.path("piece_bpe_32k.model")).collect()
-    assert all(r.kept for r in rows if r.doc_id < 1000)
-    assert [r.outside for r in rows if r.doc_id == 1000][0]
+    assert quality.judged(none, *VOCABULARIES).collect() == []
+
+
+def test_bands_equal_a_loop_however_rows_are_dealt(spark, corpus):
+    rng = random.Random(7)
+    long = corpus[-2][1]
+    rows = [(i, long[i * 20 : i * 20 + rng.randint(200, 900)], "aa") for i in range(120)]
+    rows += [(200 + i, " ".join("".join(rng.choice("абвгдежзиклмн") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(55, 90))), rng.choice(["bb", None])) for i in range(12)]
+    rows += [(300, " ".join(chr(0x1F600 + i) + chr(0x1F300 + i) for i in range(60)), "aa"), (301, None, "aa"), (302, "qx zj " * 9 + long[:300], "aa"), (303, " ".join(f"{rng.random():.17f}" for _ in range(70)), "aa")]
+    want = expected(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (1, 5):
+        for r in quality.judged(frame.repartition(n), *VOCABULARIES).collect():
+            failed, outside, kept, values = want[r.doc_id]
+            assert (r.base_failed, r.outside, r.kept) == (failed, outside, kept), r.doc_id
+            assert [r[m] for m in quality.MEASURES] == pytest.approx(values)
+    assert want[300][1] and want[303][1] and all(want[i][2] for i in range(120) if not want[i][0])

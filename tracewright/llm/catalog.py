@@ -80,8 +80,9 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "fallback_share", "token_entropy")
+    paths = [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    rows = quality.judged(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *quality.MEASURES)
 
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def fingerprints(text):
     words, hashes = tokens(text), []
     hashes = [hashed(w) for w in words]
     grams = range(len(words) - LEAST + 1)
-    anchors = [i for i, h in enumerate(hashes) if h >> 3 & 31 < line_dedup.ANCHORS]
+    anchors = [i for i, h in enumerate(hashes) if h >> 9 & 31 < line_dedup.ANCHORS]
     signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
     found = set(anchors[:1] + anchors[-1:])
     for a, b in zip(anchors, anchors[1:]):
@@ -46,7 +46,10 @@ def fingerprints(text):
             found.add(start)
         start += n
     marked = set(anchors)
-    found |= {i for i in grams if i >= LEAST and sum(k in marked for k in range(i - LEAST, i + 1)) < 2}
+    for i in range(LEAST, len(words)):
+        near = [k for k in range(i - LEAST, i + 1) if k in marked]
+        if len(near) < 2:
+            found.add(near[0] if near else i)
     return {i: tuple(words[i : i + LEAST]) for i in found if i in grams}
 
 
@@ -76,7 +79,7 @@ def model(rows):
             low, high = run[0], run[-1] + LEAST - 1
             for step, edge, i in ((-1, low, run[0]), (1, high, run[-1])):
                 d0, shift, at = places[i][0], i - places[i][1], edge
-                for _ in range(LEAST - 1):
+                for _ in range(LEAST):
                     at += step
                     if not (0 <= at < len(words[d]) and 0 <= at - shift < len(words[d0]) and words[d][at] == words[d0][at - shift]):
                         at -= step
@@ -140,7 +143,10 @@ def test_passages_of_51_words_go_wherever_they_stand(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_random_texts_equal_a_loop(spark, seed):
+def test_random_texts_equal_a_loop(spark, seed, monkeypatch):
+    if seed == 3:  # ids too far apart to be packed
+        held = line_dedup._places
+        monkeypatch.setattr(line_dedup, "_places", lambda texts: held(texts.unionByName(texts.sparkSession.createDataFrame([(-(2**63), None, 1, False), (2**63 - 1, None, 1, False)], texts.schema))))
     rng = random.Random(seed)
     pool = [made(rng, rng.randint(5, 90), ("", "", ".", ",")) for _ in range(8)]
     rows = [(i, "".join(w + rng.choice([" "] * 9 + ["\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 5)) for w in (rng.choice(pool) if rng.random() < 0.6 else made(rng, 20)))) for i in range(40)]

@@ -1,7 +1,7 @@
 """Operator 2: removal of repeated passages by winnowing. DataFrame functions only.
 
 A passage may begin anywhere in a line, so lines are cut into words. A run of `least_words` words that begins at an
-anchor may be a fingerprint; an anchor is a word whose hash says so, about one in five. Of every two consecutive anchors
+anchor may be a fingerprint; an anchor is a word whose hash says so, one in eight. Of every two consecutive anchors
 the one of the lower hash is one. So are the runs at the starts of lines of that many words, and those at places before which few anchors stand.
 Hence two copies of a run of 2 * least_words + 1 words or more, and of a whole line of least_words words or more, always
 share a fingerprint; shorter runs down to least_words words do if an anchor's run lies within them.
@@ -15,7 +15,8 @@ text equals an earlier one's become empty, however few words they have. Shorter
 
 Hashes are joined with their first place alone, never with each other, and are aggregated before they are shuffled, so a
 passage in a third of all documents costs no more than its occurrences. Texts aren't shuffled, but for those that match.
-Runs are compared by 96 bits (xxHash64 and Murmur3), extensions by 64 bits a word, whole texts by SHA-256.
+Runs are compared by 96 bits (xxHash64 of all words, Murmur3 of three of them), extensions by 64 bits a word, whole texts by
+SHA-256.
 
 Defined results: null text stays null; an empty text stays empty; a document all of whose text stands earlier becomes
 empty, or is dropped if so asked. Repeated rows (equal doc_id and text) are one document and stay alike; rows of a doc_id
@@ -26,6 +27,8 @@ names. doc_id must be castable to long.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from tracewright.llm.shared import let, staged
 
 LEAST_WORDS = 25
 #: So many words in 32 are anchors.
-ANCHORS = 6
+ANCHORS = 4
 _BLANK = " \t\n\x0b\f\r"
 #: Signs that are words of their own: ideographs, kana, hangul syllables.
 _SIGN = "[⺀-〿぀-鿿가-힯豈-﫿]"
@@ -90,18 +93,22 @@ def _line_starts(lines: Column, least: int) -> Column:
 
 
 def _sparse(anchors: Column, size: Column, least: int) -> Column:
-    """Places with fewer than two anchors among the `least` words before them and themselves."""
+    """Anchors that stand alone in a stretch of least + 1 words, and places at the end of a stretch without any."""
 
     def of(ends: Column) -> Column:
         def between(end: Column, k: Column) -> Column:
-            low = F.greatest(F.get(ends, k - 1), F.get(ends, k - 2) + (least + 1), F.lit(0))
-            high = F.least(end - 1, size - least)
-            return F.when((k >= 2) & (low <= high), F.struct(low.alias("low"), high.alias("high")))
-
-        spans = F.array_compact(F.transform(ends, between))
+            """Places from the anchor before to this one."""
+            before, earlier = F.get(ends, k - 1), F.get(ends, k - 2)
+            alone = F.greatest(before, earlier + (least + 1), F.lit(least)) <= F.least(end - 1, before + least)
+            low, high = before + (least + 1), F.least(end - 1, size - least)
+            none = F.when(low <= high, F.struct(low.alias("low"), high.alias("high")))
+            own = F.when((k > 1) & alone, F.struct(before.alias("low"), before.alias("high")))
+            return F.when(k > 0, F.array_compact(F.array(own, none)))
+
+        spans = F.flatten(F.filter(F.transform(ends, between), lambda x: F.size(x) > 0))
         return F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))
 
-    return let(F.concat(F.array(F.lit(-1), F.lit(-1)), anchors, F.array(size)), of)
+    return let(F.concat(F.array(F.lit(-1)), anchors, F.array(size)), of)
 
 
 def _selected(hashes: Column, starts: Column, least: int) -> Column:
@@ -118,9 +125,10 @@ def _selected(hashes: Column, starts: Column, least: int) -> Column:
     def places(anchors: Column) -> Column:
         return F.filter(F.array_distinct(F.concat(minima(anchors), starts, _sparse(anchors, F.size(hashes), least))), lambda i: i <= last)
 
-    anchors = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.shiftright(h, 3).bitwiseAND(_number(31)) < ANCHORS, i)))
+    anchors = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.shiftright(h, 9).bitwiseAND(_number(31)) < ANCHORS, i)))
     chosen = let(anchors, places)
-    return F.transform(chosen, lambda i: let(F.slice(hashes, i + 1, least), lambda g: F.struct(i.alias("pos"), F.xxhash64(g).alias("h"), F.hash(g).alias("c"))))
+    check = lambda i: F.hash(*(F.get(hashes, i + k) for k in (0, least // 2, least - 1)))
+    return F.transform(chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, least)).alias("h"), check(i).alias("c")))
 
 
 def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -133,12 +141,24 @@ def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.select("doc_id", F.inline(chosen))
 
 
-def _matches(prints: DataFrame) -> DataFrame:
-    """(doc_id, pos, doc0, pos0): later places of fingerprints with their first place."""
-    place = F.struct("doc_id", "pos")
+def _places(texts: DataFrame) -> tuple[Column, Callable[[Column], tuple[Column, Column]]]:
+    """A place (doc_id, pos) as one value that sorts like it, and how to take it apart: a number where ids and lengths leave
+    room for both in 62 bits, which is cheaper to aggregate, else a struct."""
+    low, high, longest = texts.agg(F.min("doc_id"), F.max("doc_id"), F.max("n")).first()
+    bits = int(longest or 0).bit_length()
+    if low is None or (high - low + 1).bit_length() + bits > 62:
+        return F.struct("doc_id", "pos"), lambda p: (p["doc_id"], p["pos"])
+    packed = F.shiftleft(F.col("doc_id") - _number(low), bits).bitwiseOR(F.col("pos").cast("long"))
+    return packed, lambda p: (F.shiftright(p, bits) + _number(low), p.bitwiseAND(_number((1 << bits) - 1)).cast("int"))
+
+
+def _matches(prints: DataFrame, apart: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """(doc_id, pos, doc0, pos0): later places of fingerprints (place, h, c) with their first place."""
     # what a hot hash is joined with is staged, so that both sides come from shuffles and the hot one can be split
-    first = staged(prints.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "c", "first"))
-    return prints.join(first, ["h", "c"]).where(place > F.col("first")).select("doc_id", "pos", F.col("first.doc_id").alias("doc0"), F.col("first.pos").alias("pos0"))
+    first = staged(prints.groupBy("h", "c").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("h", "c", "first"))
+    later = prints.join(first, ["h", "c"]).where("place > first")
+    (doc, pos), (doc0, pos0) = apart(F.col("place")), apart(F.col("first"))
+    return later.select(doc.alias("doc_id"), pos.alias("pos"), doc0.alias("doc0"), pos0.alias("pos0"))
 
 
 def _runs(matches: DataFrame, least: int) -> DataFrame:
@@ -156,7 +176,7 @@ def _runs(matches: DataFrame, least: int) -> DataFrame:
 
 def _extended(runs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, first, last): runs, extended both ways along the diagonals of their ends."""
-    reach = least - 1
+    reach = least
     ends = F.explode(F.array(*(F.struct(F.lit(after).alias("after"), F.col(edge).alias("pos"), F.col(side).alias("other")) for after, edge, side in ((False, "first", "left"), (True, "last", "right")))))
     ends = staged(runs.select("doc_id", "first", ends.alias("e")).select("doc_id", "first", "e.after", "e.pos", F.col("e.other.doc").alias("doc0"), F.col("e.other.pos").alias("pos0")))
     asked = ends.select(F.col("doc_id").alias("at"), "after", "pos").union(ends.select("doc0", "after", "pos0")).distinct()
@@ -183,7 +203,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, runs): of each document with later repeated runs, the words (first, last; from 0) of each; runs may overlap. Of
     a document whose whole text equals an earlier one's, runs is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    texts = staged(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), (F.btrim("text", F.lit(_BLANK)) != "").alias("filled")))
+    texts = staged(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("n"), (F.btrim("text", F.lit(_BLANK)) != "").alias("filled")))
     repeated = staged(texts.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("sha") != F.max("sha")).alias("several")).where("n > 1"))
     several, alike = repeated.where("several").select("doc_id"), repeated.where("not several").select("doc_id")
     single = only(texts, several, how="left_anti").where("filled")
@@ -192,7 +212,9 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     if alike.head(1):
         docs = only(docs, alike, how="left_anti").unionByName(only(docs, alike).select("doc_id", "text").dropDuplicates(["doc_id"]))
     docs = only(docs, several.union(copies), how="left_anti")
-    runs = staged(_runs(_matches(staged(fingerprints(docs, least_words))), least_words))
+    place, apart = _places(texts)
+    prints = staged(fingerprints(docs, least_words).select(place.alias("place"), "h", "c"))
+    runs = staged(_runs(_matches(prints, apart), least_words))
     found = _extended(runs, docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
     return found.unionByName(copies.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import line_dedup, packing, personal, toxicity
 from tracewright.llm.near_duplicates import near_duplicates, only
-from tracewright.llm.shared import staged, table
+from tracewright.llm.shared import settled, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each written in the shared folder and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tracewright.llm import near_duplicates, words
+from tracewright.llm import near_duplicates, shared, words
 
 # words
 
@@ -151,7 +152,7 @@ def test_stages_bear_odd_rows_and_keep_columns(spark, docs, corpus, tmp_path):
         if name != "packing":
             assert rows.columns == docs.columns, name
             assert set(r.doc_id for r in rows.select("doc_id").collect()) <= set(r[0] for r in corpus)
-            rows = corpus_pipeline.staged(rows)
+            rows = corpus_pipeline.settled(lambda rows=rows: rows)
         else:
             assert rows.agg(F.countDistinct("doc_id")).first()[0] == before.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == rows.count()
@@ -162,3 +163,43 @@ def test_pipeline_of_no_rows(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert P.PATTERN
+
+
+def test_staging_needs_a_shared_folder_off_this_machine():
+    class Elsewhere:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Elsewhere
+
+        @staticmethod
+        def getCheckpointDir():
+            return Elsewhere
+
+        @staticmethod
+        def isDefined():
+            return False
+
+    class Session:
+        sparkContext = Elsewhere
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared.shared_folder(Session)
+
+
+def test_settled_tables_stay_and_those_on_the_way_go(spark):
+    inner = []
+
+    def make():
+        inner.append(shared.staged(spark.range(5)))
+        return inner[0].where("id > 1")
+
+    out = shared.settled(make)
+    assert out.count() == 3
+    place = inner[0].inputFiles()
+    assert place and not any(os.path.exists(p.removeprefix("file://")) for p in place)

@@ -34,7 +34,7 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from tracewright.llm.near_duplicates import only
-from tracewright.llm.shared import let, staged
+from tracewright.llm.shared import let, settled, staged
 
 LEAST_WORDS = 25
 #: So many words in 32 are anchors.
@@ -222,7 +222,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, drop_emptied: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) without later repeated runs; n_chars, if there, follows. drop_emptied: documents that lose all
     their words go."""
-    runs = staged(repeated_runs(docs, least_words).select(F.col("doc_id").alias("__of"), F.col("runs").alias("__repeated_runs")))
+    runs = settled(lambda: repeated_runs(docs, least_words).select(F.col("doc_id").alias("__of"), F.col("runs").alias("__repeated_runs")))
 
     def rebuilt(pieces: Column) -> Column:
         gone = F.flatten(F.transform("__repeated_runs", lambda r: F.sequence(r["first"], r["last"])))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import words as W
-from tracewright.llm.shared import by_text, staged, strings
+from tracewright.llm.shared import by_text, settled, staged, strings
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Least sum of the scores of a trusted pattern's instances, its least confidence, turns of scoring, what a turn's score keeps.
@@ -274,7 +274,7 @@ def scored_patterns(docs: DataFrame) -> DataFrame:
 
 def trusted_patterns(docs: DataFrame) -> DataFrame:
     """(pattern) of the trusted ones."""
-    return staged(scored_patterns(docs).where("trusted").select("pattern"))
+    return settled(lambda: scored_patterns(docs).where("trusted").select("pattern"))
 
 
 def _applied(docs: DataFrame, make, schema) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,26 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of this machine only where it is unset."""
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, a folder of this machine if all of Spark runs here, in
+    one process; elsewhere a ValueError, since other machines couldn't read what is written there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not found and context.getCheckpointDir().isDefined():
         found = context.getCheckpointDir().get()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = tempfile.mkdtemp(prefix="tracewright-")
         context.setCheckpointDir(found)
     return found
 
 
+#: Folders of staged tables, in the order in which they were written.
+_places: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and read again: lineage is cut and no executor's disk is relied on."""
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    _places.append(place)
     atexit.register(remove, spark, place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s table staged; all that was staged on the way to it is removed."""
+    before = len(_places)
+    out = staged(make())
+    for place in _places[before:-1]:
+        remove(out.sparkSession, place)
+    del _places[before:-1]
+    return out
+
+
 def remove(spark: SparkSession, place: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that full case folding changes beyond lower case.
-FOLDED = {"ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn"}
+#: Letters that full case folding changes otherwise than F.lower does, by rule: each with what it becomes. A single lower-case
+#: letter that lower case alone gives is left out.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1FBD0)) if c.lower() == c != c.casefold()}
 #: White space as Unicode has it, and the four separators of ASCII.
 SPACE = r"[\s\x1c-\x1f]"
 #: Month names.
@@ -39,11 +40,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Full case folding."""
-    text = F.lower(text)
-    for letter, plain in FOLDED.items():
-        text = F.replace(text, F.lit(letter), F.lit(plain))
-    return text
+    """Full case folding; text without letters beyond ASCII takes lower case alone."""
+    single = {c: x for c, x in FOLDED.items() if len(x) == 1}
+    longer = {c: x for c, x in FOLDED.items() if len(x) > 1}
+    plain = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    spread = plain
+    for letter, letters in longer.items():
+        spread = F.replace(spread, F.lit(letter), F.lit(letters))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(plain, lambda p: F.when(p.rlike(f"[{''.join(longer)}]"), spread).otherwise(p)))
 
 
 def normalized(text: Column) -> Column:

@@ -14,8 +14,9 @@ def nested(records: DataFrame, order: str | None = None) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, field: str = "item") -> DataFrame:
     """(record_seq, id, entries) of one JSON record a line. What isn't an object, a list of entries or an entry is left
-    out and never raises; values of other types are taken as strings. record_seq is the hash of file and place."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record_seq"))
+    out and never raises; values of other types are taken as strings. record_seq numbers the lines in the order in which Spark
+    reads them: the same for the same files and settings, not beyond; write it down where it must last."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("record_seq"))
     value = F.try_parse_json("value")
     records = lines.select("record_seq", value.alias("v"))
     entries = F.try_variant_get("v", "$.entries", "array<variant>")

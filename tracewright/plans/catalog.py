@@ -165,12 +165,14 @@ def _within_sql(rows: str, days: int, least: int) -> str:
         c as (select a.seq, a.item as item_a, b.item as item_b, list({{'g': abs(a.day - b.day), 'a': cast(a.day as varchar), 'b': cast(b.day as varchar)}} order by abs(a.day - b.day), a.day, b.day) as l
             from d a join d b on a.seq = b.seq and a.item < b.item and abs(a.day - b.day) <= {days} group by a.seq, a.item, b.item),
         m as (select seq, item_a, item_b, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda k: k.a = x[1].a or k.b = x[1].b)) > 0 then acc else list_concat(acc, x) end) as l from c)
-        select cast(seq as varchar) as record_id, item_a, item_b, cast(len(l) as bigint) as n, cast(list_sum(list_transform(l, lambda x: x.g)) as bigint) as days_apart from m where len(l) >= {least}"""
+        select cast(seq as varchar) as record_id, item_a, item_b, cast(len(l) as bigint) as n, cast(list_sum(list_transform(l, lambda x: x.g)) as bigint) as days_apart,
+            array_to_string(list_sort(list_transform(l, lambda x: x.a || ' ~ ' || x.b || ': ' || x.g)), ', ') as pairs from m where len(l) >= {least}"""
 
 
 def _within(occ: DataFrame, days: int, least: int) -> DataFrame:
     apart = F.aggregate("pairs", F.lit(0).cast("long"), lambda s, p: s + p["gap"])
-    return rules.cooccurrence(occ, least, days).select("record_id", "item_a", "item_b", F.col("count").alias("n"), apart.alias("days_apart"))
+    pairs = F.array_join(F.transform("pairs", lambda p: F.concat(p["a"], F.lit(" ~ "), p["b"], F.lit(": "), p["gap"].cast("string"))), ", ")
+    return rules.cooccurrence(occ, least, days).select("record_id", "item_a", "item_b", F.col("count").alias("n"), apart.alias("days_apart"), pairs.alias("pairs"))
 
 
 @query(_same_day_sql(_EVENTS, 2))
@@ -244,14 +246,17 @@ def report_lens_counts(spark, sf_dir):
     return report.lens_counts(report.findings(_events(spark, sf_dir)))
 
 
-@query(
-    f"""select record_id, 'recurrence' as lens, '"' || item || '" recurred ' || n || ' times — ' || dates as line from ({_recurrence_sql(_EVENTS, 2)}) union all
-    select record_id, 'frequency', '"' || item || '" appeared ' || n || ' times within ' || (cast(window_end as date) - cast(window_start as date)) || ' days — ' || dates from ({_burst_sql(_EVENTS, 30, 3)}) union all
-    select record_id, 'co-occurrence', '"' || item_a || '" + "' || item_b || '" co-occurred ' || n || ' times — ' || dates from ({_same_day_sql(_EVENTS, 2)})"""
-)
+_LINES_OF_EVENTS = f"""select record_id, 0 as lens_ord, item as place, 'recurrence' as lens, '"' || item || '" recurred ' || n || ' times — ' || dates as line from ({_recurrence_sql(_EVENTS, 2)}) union all
+    select record_id, 2, item, 'frequency', '"' || item || '" appeared ' || n || ' times within ' || (cast(window_end as date) - cast(window_start as date)) || ' days — ' || dates from ({_burst_sql(_EVENTS, 30, 3)}) union all
+    select record_id, 3, item_a || ' ' || item_b, 'co-occurrence', '"' || item_a || '" + "' || item_b || '" co-occurred ' || n || ' times — ' || dates from ({_same_day_sql(_EVENTS, 2)}) union all
+    select record_id, 4, item, 'cadence-change', '"' || item || '" interval changed from ~' || before_interval || 'd to ~' || after_interval || 'd at ' || pivot_date || ' — ' || dates from ({_cadence_sql(_EVENTS)})
+        join (select cast(seq as varchar) as record_id, item, string_agg(cast(day as varchar), ', ' order by day) as dates from (select distinct seq, item, day from ({_EVENTS})) group by seq, item) using (record_id, item)"""
+
+
+@query(f"select record_id, lens, line from ({_LINES_OF_EVENTS})")
 def report_lines_events(spark, sf_dir):
-    found = report.findings(_events(spark, sf_dir), tuple(x for x in report.LENSES if x.name != "cadence-change"))
-    return found.select("record_id", "lens", "line")
+    """No user's events are 90 days apart, so the lens gap has no line."""
+    return report.findings(_events(spark, sf_dir)).select("record_id", "lens", "line")
 
 
 @query(
@@ -262,7 +267,7 @@ def report_blocks_gaps(spark, sf_dir):
     return report.blocks(report.findings(_orders(spark, sf_dir), tuple(x for x in report.LENSES if x.name == "gap")))
 
 
-@query()
+@query(f"select record_id, 'Record ' || record_id || ':' || chr(10) || string_agg('  [' || lens || '] ' || line, chr(10) order by lens_ord, place) as block from ({_LINES_OF_EVENTS}) group by record_id")
 def report_blocks_events(spark, sf_dir):
     return report.blocks(report.findings(_events(spark, sf_dir)))
 
@@ -416,6 +421,42 @@ def multi_accept(spark, sf_dir):
     return found.select("note_id", "id", F.inline("entries")).groupBy("note_id", "id", "date", "item").agg(F.count("*").alias("n"))
 
 
+#: Days by which the dates of users 1 to 150 are shifted; every third has none.
+_SHIFTS = {str(user): user % 30 for user in range(1, 151) if user % 3}
+_SEGMENTS = f"""with e as (select user_id, event_id, cast(ts as date) as day, event_type as item,
+        sum(12 + length(event_type)) over (partition by user_id order by cast(ts as date), event_id) - length(event_type) - 1 as place from events),
+    u as (select user_id, sum(12 + length(item)) - 1 as size from e group by user_id),
+    s as (select cast(floor(user_id / 10) as bigint) as note_id, user_id, case when {_HEADED} then {_SHARED} when user_id % 13 = 1 then 'other' end as key, ({_HEADED}) and user_id % 13 = 1 as two,
+        case when {_HEADED} then 10 + length({_SHARED}) else 0 end as head, size + case when {_HEADED} then 10 + length({_SHARED}) else 0 end + case when user_id % 13 = 1 then 15 else 0 end as size from u),
+    t as (select *, count(*) over (partition by note_id, case when key is not null and not two then key end) as same, row_number() over w - 1 as index, sum(size + 5) over w - size - 5 as start,
+        case when user_id between 1 and 150 and user_id % 3 <> 0 and key = cast(user_id as varchar) then user_id % 30 end as days from s window w as (partition by note_id order by user_id)),
+    r as (select *, case when key is null then 'missing_key' when two then 'ambiguous_key' when same > 1 then 'duplicate_key' when days is null then 'missing_shift' end as reason from t)"""
+
+
+@query(
+    f"""{_SEGMENTS} select note_id, cast(index as bigint) as index, reason, cast(start as bigint) as char_offset,
+        case reason when 'missing_key' then 'no Patient: header' when 'ambiguous_key' then '2 distinct headers' when 'duplicate_key' then 'key shared across segments' else 'no per-patient shift supplied' end as detail
+    from r where reason is not null"""
+)
+def multi_refused(spark, sf_dir):
+    """All four reasons to refuse a segment, with its place."""
+    found = extract.quarantined(_multi(spark, sf_dir), "\n---\n", shift_by_id=_SHIFTS, require_shift=True)
+    return found.select("note_id", F.col("index").cast("long").alias("index"), "reason", F.col("char_offset").cast("long").alias("char_offset"), "detail")
+
+
+@query(
+    f"""{_SEGMENTS} select r.note_id, 'p-' || key as id, cast(cast(day + cast(days as integer) as date) as varchar) as date, item, cast(start + head + place as integer) as first, cast(start + head + place + length(item) as integer) as last,
+        cast(start as integer) as segment_start, cast(start + r.size as integer) as segment_end, cast(start + 9 as integer) as key_start
+    from r join e on e.user_id = r.user_id where reason is null"""
+)
+def multi_shifted(spark, sf_dir):
+    """Accepted segments with dates shifted by subject, and places in the whole note."""
+    found = extract.records_multi(_multi(spark, sf_dir), _TERMS, delimiter="\n---\n", record_id_prefix="p-", shift_by_id=_SHIFTS, require_shift=True)
+    at = F.col("provenance.segment_span")
+    rows = found.select("note_id", "id", at[0].alias("segment_start"), at[1].alias("segment_end"), F.col("provenance.patient_key_span")[0].alias("key_start"), F.inline("entries"))
+    return rows.select("note_id", "id", "date", "item", F.col("source_span")[0].alias("first"), F.col("source_span")[1].alias("last"), "segment_start", "segment_end", "key_start")
+
+
 _WORDS = "regexp_split_to_array(lower(text), '[^0-9a-z]+')"
 
 
@@ -442,6 +483,37 @@ def gazetteer_longest_match(spark, sf_dir):
     return docs.groupBy("doc_id", F.col("hit.term").alias("term")).agg(F.count("*").alias("n"))
 
 
+_PREFIX = "case event_id % 3 when 0 then '' when 1 then 'ß ' else 'İ x ﬁ ' end"
+_STREET = "case event_id % 4 when 0 then 'Straße' when 1 then 'STRASSE' when 2 then 'strasse' else 'STRAẞE' end"
+
+
+@query(
+    f"""with n as (select event_id, cast(cast(ts as date) as varchar) as date, {_PREFIX} as p, {_STREET} as w from events)
+    select event_id as note_id, date, 'Straße' as item, cast(11 + length(p) as integer) as first, cast(11 + length(p) + length(w) as integer) as last from n
+    union all select event_id, date, 'fine', cast(12 + length(p) + length(w) as integer), cast(15 + length(p) + length(w) as integer) from n"""
+)
+def gazetteer_folded(spark, sf_dir):
+    """Terms whose letters case folding lengthens, in four spellings, with their places in the original text."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.col("ts").cast("date").cast("string"), F.lit(" "), F.expr(_PREFIX), F.expr(_STREET), F.lit(" ﬁne"))
+    found = extract.entries(events.select(F.col("event_id").alias("note_id"), text.alias("text")), ["Straße", "fine"])
+    return found.select("note_id", "date", "item", F.col("source_span")[0].alias("first"), F.col("source_span")[1].alias("last"))
+
+
+_NOTE_LINES = """select user_id, event_id, cast(cast(ts as date) as varchar) as date, event_type as item,
+    sum(12 + length(event_type)) over (partition by user_id order by cast(ts as date), event_id) - length(event_type) - 1 as place from events"""
+
+
+@query(
+    f"""select cast(user_id as varchar) as record_id, date, item, cast(11 + length(cast(user_id as varchar)) + place as integer) as first, cast(11 + length(cast(user_id as varchar)) + place + length(item) as integer) as last
+    from ({_NOTE_LINES})"""
+)
+def entry_spans(spark, sf_dir):
+    """Each entry with the place in its note that it cites."""
+    found = extract.records(_notes(spark, sf_dir), _TERMS).select(F.col("id").alias("record_id"), F.inline("entries"))
+    return found.select("record_id", "date", "item", F.col("source_span")[0].alias("first"), F.col("source_span")[1].alias("last"))
+
+
 @query()
 def gazetteer_fuzzy(spark, sf_dir):
     """Alike terms in notes; difflib's ratio can't be expressed in SQL."""
@@ -449,10 +521,13 @@ def gazetteer_fuzzy(spark, sf_dir):
     return extract.entries(_notes(spark, sf_dir), ["clicks", "sign-up", "purchases"], matching=matching).groupBy("note_id", "item").agg(F.count("*").alias("n"))
 
 
-@query("select cast(user_id as varchar) as record_id, cast(cast(ts as date) as varchar) || '  \"' || event_type || '\"' as line, count(*) as n from events group by all")
+@query(
+    f"""select cast(user_id as varchar) as record_id, date || '  "' || item || '"  @[' || (11 + length(cast(user_id as varchar)) + place) || ', ' || (11 + length(cast(user_id as varchar)) + place + length(item)) || ']' as line
+    from ({_NOTE_LINES})"""
+)
 def entry_lines(spark, sf_dir):
     found = extract.records(_notes(spark, sf_dir), _TERMS).select(F.col("id").alias("record_id"), F.inline("entries"))
-    return found.groupBy("record_id", F.regexp_replace(extract.entry_line(), "  @.*$", "").alias("line")).agg(F.count("*").alias("n"))
+    return found.select("record_id", extract.entry_line().alias("line"))
 
 
 # scanner
@@ -460,42 +535,45 @@ def entry_lines(spark, sf_dir):
 _LINES = "select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null"
 
 
+#: Lines' card candidates: of each run of digit groups, groups from the leftmost on that make 13 to 19 digits, as many as
+#: can be; then from the next group on.
+_CARDS = """runs as (select doc_id, line, row_number() over () as run, g from (select doc_id, line, unnest(regexp_extract_all(t, '[0-9]+(?:[ -][0-9]+)*')) as g from l)),
+    groups as (select run, unnest(regexp_extract_all(g, '[0-9]+')) as digits, generate_subscripts(regexp_extract_all(g, '[0-9]+'), 1) as i from runs where length(regexp_replace(g, '[^0-9]', '', 'g')) >= 13),
+    ends as (select run, i, digits, sum(length(digits)) over (partition by run order by i) as upto from groups),
+    wide as (select a.run, a.i, max(b.i) as j from ends a join ends b on a.run = b.run and b.i between a.i and a.i + 18 and b.upto - a.upto + length(a.digits) between 13 and 19 group by a.run, a.i),
+    taken(run, i, j) as (select run, min(i), arg_min(j, i) from wide group by run
+        union all select x.run, min(w.i), arg_min(w.j, w.i) from taken x join wide w on w.run = x.run and w.i > x.j group by x.run, x.j),
+    numbers as (select t.run, t.i, string_agg(e.digits, '' order by e.i) as d from taken t join ends e on e.run = t.run and e.i between t.i and t.j group by t.run, t.i),
+    sums as (select run, list_sum(list_transform(generate_series(1, length(d)), lambda k: (cast(substr(d, cast(length(d) - k + 1 as integer), 1) as integer) * (2 - k % 2)) // 10 + (cast(substr(d, cast(length(d) - k + 1 as integer), 1) as integer) * (2 - k % 2)) % 10)) as total from numbers),
+    cards as (select distinct doc_id, line from sums join runs on runs.run = sums.run where total % 10 = 0)"""
+
+
 @query(
-    f"""with l as ({_LINES}), f as (
-    select doc_id, line, 'secret' as detector_id from l where regexp_matches(t, '\\bgh[pousr]_[A-Za-z0-9]{{20,}}\\b') or regexp_matches(t, '\\bgithub_pat_[A-Za-z0-9_]{{20,}}\\b') or regexp_matches(t, '\\bAKIA[0-9A-Z]{{16}}\\b')
+    f"""with recursive l as ({_LINES}), {_CARDS},
+    f as (select doc_id, line, 'secret' as detector_id from l where regexp_matches(t, '\\bgh[pousr]_[A-Za-z0-9]{{20,}}\\b') or regexp_matches(t, '\\bgithub_pat_[A-Za-z0-9_]{{20,}}\\b') or regexp_matches(t, '\\bAKIA[0-9A-Z]{{16}}\\b')
         or regexp_matches(t, '\\bsk-(?:proj-)?[A-Za-z0-9_-]{{20,}}\\b') or regexp_matches(t, '(?i)\\b(?:api[_-]?key|client[_-]?secret|password|passwd|secret|token)\\b\\s*[:=]\\s*[''"]?[A-Za-z0-9_./+=-]{{12,}}')
     union all select doc_id, line, 'private-key' from l where regexp_matches(t, '-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----')
     union all select doc_id, line, 'email' from l where regexp_matches(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_.+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')
     union all select doc_id, line, 'ssn' from l where regexp_matches(t, '(^|[^0-9])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}($|[^0-9])')
     union all select doc_id, line, 'phone' from l where regexp_matches(t, '(^|[^0-9])(?:\\+?1[-. ]?)?\\(?[2-9][0-9]{{2}}\\)?[-. ][0-9]{{3}}[-. ][0-9]{{4}}($|[^0-9])')
     union all select doc_id, line, 'mrn' from l where regexp_matches(t, '(?i)\\b(?:mrn|medical record(?: number)?)\\s*[:=#-]?\\s*[A-Z0-9][A-Z0-9-]{{3,}}\\b')
-    union all select doc_id, line, 'dob' from l where regexp_matches(t, '(?i)\\b(?:dob|date of birth)\\s*[:=#-]?\\s*(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}})\\b'))
+    union all select doc_id, line, 'dob' from l where regexp_matches(t, '(?i)\\b(?:dob|date of birth)\\s*[:=#-]?\\s*(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}})\\b')
+    union all select doc_id, line, 'payment-card' from cards)
     select detector_id, 'documents/' || doc_id as path, cast(line as bigint) as line from f"""
 )
 def scan_documents(spark, sf_dir):
+    """All detectors on all lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sensitive.scan_lines(sensitive.document_lines(docs)).where("detector_id <> 'payment-card'").select("detector_id", "path", "line")
+    return sensitive.scan_lines(sensitive.document_lines(docs)).select("detector_id", "path", "line")
 
 
-@query(
-    f"""with l as ({_LINES}),
-    c as (select doc_id, line, regexp_replace(unnest(regexp_extract_all(t, '(?:[0-9][ -]?){{12,18}}[0-9]')), '[^0-9]', '', 'g') as d from l
-        where not regexp_matches(t, '[0-9]([ -]?[0-9]){{19,}}')),
-    s as (select doc_id, line, d, list_transform(generate_series(1, length(d)), lambda i: cast(substr(d, cast(length(d) - i + 1 as integer), 1) as integer) * (case when i % 2 = 0 then 2 else 1 end)) as v from c)
-    select distinct 'documents/' || doc_id as path, cast(line as bigint) as line from s where length(d) between 13 and 19 and list_sum(list_transform(v, lambda x: case when x > 9 then x - 9 else x end)) % 10 = 0"""
-)
+@query(f"with recursive l as ({_LINES}), {_CARDS} select 'documents/' || doc_id as path, cast(line as bigint) as line from cards")
 def scan_luhn(spark, sf_dir):
-    """Lines with a card number, but for lines with longer runs of digits, which SQL without look-around can't cut alike."""
-    rows = sensitive.document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).where(~F.col("text").rlike("[0-9]([ -]?[0-9]){19,}"))
+    """Lines with a card number."""
+    rows = sensitive.document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return sensitive.scan_lines(rows).where("detector_id = 'payment-card'").select("path", "line")
 
 
-@query()
-def scan_all(spark, sf_dir):
-    """All detectors on all lines, cards on lines with long runs of digits as well; SQL without look-around can't state it."""
-    return sensitive.scan_lines(sensitive.document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
 @query()
 def scan_diffs(spark, sf_dir):
     """Documents as unified diffs that add their lines."""
@@ -504,11 +582,15 @@ def scan_diffs(spark, sf_dir):
     return sensitive.scan_diffs(docs.select(F.col("doc_id").alias("diff_id"), text.alias("text"))).groupBy("detector_id").agg(F.count("*").alias("n"))
 
 
-@query("select path, cast(0 as bigint) as line from (select 'a/' || doc_id || '.pem' as path from documents union all select 'secrets/' || doc_id || '.txt' from documents where doc_id < 0)")
+#: Paths that protect themselves, one for each pattern, and some that don't; %d stands for the document's number.
+_PATHS = {"a/%d.pem": True, ".env.%d": True, "x/.ENV": True, "k/id_rsa.%d": True, "conf%d/Secrets.yaml": True, "real_patient/%d": True, "phi": True, "secrets/%d.txt": False, "env/%d": False, "a/%d.pem.txt": False, "phial/%d": False}
+
+
+@query(f"select distinct path, cast(0 as bigint) as line from ({' union all '.join(f"select replace('{path}', '%d', cast(doc_id as varchar)) as path from documents" for path, there in _PATHS.items() if there)})")
 def scan_paths(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    paths = docs.select(F.explode(F.array(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".pem")), F.concat(F.lit("secrets/"), F.col("doc_id").cast("string"), F.lit(".txt")))).alias("path"))
-    return sensitive.scan_paths(paths).select("path", "line")
+    paths = F.array(*(F.replace(F.lit(p), F.lit("%d"), F.col("doc_id").cast("string")) for p in _PATHS))
+    return sensitive.scan_paths(docs.select(F.explode(paths).alias("path"))).select("path", "line")
 
 
 # audit
@@ -575,7 +657,7 @@ def audit_summary(spark, sf_dir):
     select lens, before, after, after - before as difference from s"""
 )
 def audit_compare(spark, sf_dir):
-    return audit.split_counts(_reports(spark, sf_dir), 500)
+    return audit.compared(_reports(spark, sf_dir), 500)
 
 
 # views
@@ -592,15 +674,24 @@ def timeline_ticks(spark, sf_dir):
     return rows.select("record_id", "item", "date", F.floor(F.round(F.col("percent") * 100, 6)).cast("long").alias("place"))
 
 
-@query("select cast(user_id as varchar) as record_id, event_type as item, cast(count(*) as integer) as chips, count(*) > 3 as folded from events group by user_id, event_type having count(*) >= 2")
+_CHIPS = "string_agg('<span class=\"chip\">' || cast(day as varchar) || '</span>', '' order by day)"
+
+
+@query(
+    f"""select cast(seq as varchar) as record_id, item, cast(count(*) as integer) as chips, count(*) > 3 as folded,
+        '<article class="card"><h3>' || item || '</h3><p>&quot;' || item || '&quot; recurred ' || count(*) || ' times — ' || string_agg(cast(day as varchar), ', ' order by day) || '</p>'
+        || case when count(*) > 3 then '<details><summary>' || count(*) || ' dates</summary>' || {_CHIPS} || '</details>' else {_CHIPS} end || '</article>' as card
+    from ({_EVENTS}) group by seq, item having count(*) >= 2"""
+)
 def report_cards(spark, sf_dir):
     hits = rules.recurrence(_events(spark, sf_dir)).withColumn("lens", F.lit("recurrence")).withColumn("line", report.recurrence_line())
-    return views.cards(hits).select("record_id", "item", "chips", "folded")
+    return views.cards(hits).select("record_id", "item", "chips", "folded", "card")
 
 
-@query("select user_id as note_id, count(*) as marks from events group by user_id")
+@query(
+    """select user_id as note_id, 'Patient: ' || user_id || chr(10) || chr(10) || string_agg(cast(cast(ts as date) as varchar) || ' <mark class="item">' || event_type || '</mark>', chr(10) order by cast(ts as date), event_id) || chr(10) as html
+    from events group by user_id"""
+)
 def marked_notes(spark, sf_dir):
     notes = _notes(spark, sf_dir)
-    pages = views.marked(notes, views.spans(extract.entries(notes, _TERMS), ["note_id"]))
-    return pages.select("note_id", F.size(F.regexp_extract_all("html", F.lit('<mark class="item">(?:click|view|error|signup|purchase)</mark>'), F.lit(0))).cast("long").alias("marks"))
-
+    return views.marked(notes, views.spans(extract.entries(notes, _TERMS), ["note_id"])).select("note_id", "html")

@@ -39,15 +39,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_SINGLE = {c: x for c, x in FOLDED.items() if len(x) == 1}
+_LONGER = {c: x for c, x in FOLDED.items() if len(x) > 1}
+
+
 def folded(text: Column) -> Column:
     """Full case folding; text without letters beyond ASCII takes lower case alone."""
-    single = {c: x for c, x in FOLDED.items() if len(x) == 1}
-    longer = {c: x for c, x in FOLDED.items() if len(x) > 1}
-    plain = F.translate(F.lower(text), "".join(single), "".join(single.values()))
-    spread = plain
-    for letter, letters in longer.items():
-        spread = F.replace(spread, F.lit(letter), F.lit(letters))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(plain, lambda p: F.when(p.rlike(f"[{''.join(longer)}]"), spread).otherwise(p)))
+    longer = F.str_to_map(F.lit(";".join(f"{c}={x}" for c, x in _LONGER.items())), F.lit(";"), F.lit("="))
+
+    def spread(plain: Column) -> Column:
+        letters = F.transform(F.split(plain, "", -1), lambda c: F.coalesce(F.try_element_at(longer, c), c))
+        return F.when(plain.rlike(f"[{''.join(_LONGER)}]"), F.array_join(letters, "")).otherwise(plain)
+
+    plain = F.translate(F.lower(text), "".join(_SINGLE), "".join(_SINGLE.values()))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(plain, spread))
 
 
 def normalized(text: Column) -> Column:

@@ -96,17 +96,18 @@ def _sparse(anchors: Column, size: Column, least: int) -> Column:
     """Anchors that stand alone in a stretch of least + 1 words, and places at the end of a stretch without any."""
 
     def of(ends: Column) -> Column:
-        def between(end: Column, k: Column) -> Column:
-            """Places from the anchor before to this one."""
-            before, earlier = F.get(ends, k - 1), F.get(ends, k - 2)
+        def between(k: Column) -> Column:
+            """Places from the anchor before the k-th end to that."""
+            end, before, earlier = (F.get(ends, k - back) for back in range(3))
             alone = F.greatest(before, earlier + (least + 1), F.lit(least)) <= F.least(end - 1, before + least)
             low, high = before + (least + 1), F.least(end - 1, size - least)
             none = F.when(low <= high, F.struct(low.alias("low"), high.alias("high")))
             own = F.when((k > 1) & alone, F.struct(before.alias("low"), before.alias("high")))
-            return F.when(k > 0, F.array_compact(F.array(own, none)))
+            return F.array_compact(F.array(own, none))
 
-        spans = F.flatten(F.filter(F.transform(ends, between), lambda x: F.size(x) > 0))
-        return F.flatten(F.transform(spans, lambda x: F.sequence(x["low"], x["high"])))
+        # few ends are so far from the one before the last that there is more to see
+        far = F.array_compact(F.transform(ends, lambda end, k: F.when(end - F.coalesce(F.get(ends, k - 2), F.lit(-1)) > least, k)))
+        return F.flatten(F.transform(F.flatten(F.transform(far, between)), lambda x: F.sequence(x["low"], x["high"])))
 
     return let(F.concat(F.array(F.lit(-1)), anchors, F.array(size)), of)
 

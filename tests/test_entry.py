@@ -42,7 +42,7 @@ def test_all_cards_of_all_lines_are_scanned(spark, tmp_path):
 
     lines = [(f"documents/{d}", n, line) for d, text in enumerate(texts) for n, line in enumerate((text or "").split("\n"), 1)]
     want = {(p, n) for p, n, line in lines if any(luhn(run) for run in re.findall(r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])", line))}
-    rows = entry.queries()["scan_all"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["scan_documents"](spark, str(tmp_path)).collect()
     assert {(r.path, r.line) for r in rows if r.detector_id == "payment-card"} == want and len(want) >= 4
     assert ("email", "documents/5", 2) in {tuple(r) for r in rows}
-    assert {(r.path, r.line) for r in entry.queries()["scan_luhn"](spark, str(tmp_path)).collect()} < want
+    assert {(r.path, r.line) for r in entry.queries()["scan_luhn"](spark, str(tmp_path)).collect()} == want

@@ -192,15 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, features:
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, feature, value, n = empty.value.features(batch.column("text"))
         bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (feature, value)]
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
         return pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "features": lists[0], "counts": lists[1]})
 
-    found = texts.mapInArrow(lambda batches: by_text(batches, "text", featured), "doc_id long, toxic int, features array<long>, counts array<double>").toArrow()
+    found = texts.mapInArrow(lambda batches: by_text(batches, "text", featured), "doc_id long, toxic int, features array<int>, counts array<float>").toArrow()
     ids, toxic = (found.column(x).to_numpy() for x in ("doc_id", "toxic"))
     lists = [x for x in found.column("features").chunks]
     doc = np.repeat(np.arange(len(ids)), np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in lists)]).astype(np.int64))
-    feature = np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in lists)])
-    value = np.concatenate([np.zeros(0), *(x.flatten().to_numpy() for x in found.column("counts").chunks)])
+    feature = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in lists)])
+    value = np.concatenate([np.zeros(0, np.float32), *(x.flatten().to_numpy() for x in found.column("counts").chunks)])
+    del found, lists  # the driver's memory holds them once
     score = np.array([ratios[t] for t in known.view(np.int64).tolist()], np.float64)
     if len(pool):
         score = np.maximum(score, pair_ratios(doc, feature, toxic, np.searchsorted(known, pool), score))

@@ -189,3 +189,18 @@ def test_the_pipeline_drops_what_is_emptied(spark):
     rows = [(1, text), (2, text), (3, "\n".join(text.split())), (4, ""), (5, None), (6, "own words " + text)]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == {1: text, 4: "", 5: None, 6: "own words"}
+
+
+def test_fingerprints_equal_a_loop_and_are_hashed_in_compiled_code(spark):
+    rng = random.Random(8)
+    texts = ["", " ", "\n", "same " * 80, " \n".join(made(rng, 70)), "\n" + " ".join(made(rng, 25)) + "  \n\n " + "  ".join(made(rng, 30)), "\t".join(made(rng, 60)), "漢字 " * 20 + " ".join(made(rng, 30)), "\U0001f600 é " * 30]
+    texts += ["".join(w + rng.choice("    \n") for w in made(rng, n)) for n in (1, 24, 25, 26, 51, 52, 900)]
+    chosen = line_dedup.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = chosen.collect()
+    assert {(r.doc_id, r.pos) for r in got} == {(i, pos) for i, t in enumerate(texts) for pos in fingerprints(t)}
+    grams = {(r.h, r.c): fingerprints(texts[r.doc_id])[r.pos] for r in got}
+    assert all(fingerprints(texts[r.doc_id])[r.pos] == grams[r.h, r.c] for r in got) and len(set(grams.values())) == len(grams)
+    plan = chosen._jdf.queryExecution().executedPlan().toString().split("\n")
+    hashing = [x for x in plan if "xxhash64(slice(" in x]
+    assert hashing and all(re.match(r"\W*\*\(\d+\) Project", x) for x in hashing)
+    assert not any("Filter" in x and "split(" in x for x in plan), "texts are cut twice"

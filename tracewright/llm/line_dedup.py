@@ -43,9 +43,11 @@ _BLANK = " \t\n\x0b\f\r"
 #: Signs that are words of their own: ideographs, kana, hangul syllables.
 _SIGN = "[⺀-〿぀-鿿가-힯豈-﫿]"
 _AMONG = rf"\s+|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
-#: Cuts of a text into words; white space before a word belongs to it, and after the last word to that.
-_WORD = r"(?<=\S)(?=\s+\S)"
-_WORD_AMONG = rf"{_WORD}|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
+#: What texts of plain words have none of: white space but blanks and line feeds, and all from the first sign on.
+_ODD = "[\t\r\x0b\f⺀-\U0010ffff]"
+#: A word with its white space: what stands before it, and after the last word.
+_PIECE = r"\s*+\S++(?:\s++\z)?+"
+_PIECE_AMONG = rf"(?<=\S)(?=\s+\S)|(?<={_SIGN})(?=\S)|(?<=\S)(?={_SIGN})"
 
 
 def _signs(text: Column) -> Column:
@@ -62,16 +64,19 @@ def _lines(text: Column) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    """The words with the white space that belongs to them."""
-    return F.when(_signs(text), F.split(text, _WORD_AMONG, -1)).otherwise(F.split(text, _WORD, -1))
+    """The words, of which there are some, with the white space that belongs to them."""
+    return F.when(_signs(text), F.split(text, _PIECE_AMONG, -1)).otherwise(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)))
 
 
 def _number(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def _hashes(lines: Column) -> Column:
-    return F.transform(F.flatten(lines), lambda w: F.xxhash64(w))
+def _hashes(text: Column) -> Column:
+    """Hashes of the words of each line; lines of plain words are cut at blanks alone."""
+    plain = lambda x: F.array_remove(F.transform(F.split(x, " ", -1), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    other = F.transform(_lines(text), lambda words: F.transform(words, lambda w: F.xxhash64(w)))
+    return F.when(text.rlike(_ODD), other).otherwise(F.transform(F.split(text, "\n", -1), plain))
 
 
 def _sums(values: Column, steps: int = 24) -> Column:
@@ -92,54 +97,37 @@ def _line_starts(lines: Column, least: int) -> Column:
     return F.when(F.exists(lines, lambda x: F.size(x) >= least), let(F.transform(lines, lambda x: F.size(x)), starts)).otherwise(F.array().cast("array<int>"))
 
 
-def _sparse(anchors: Column, size: Column, least: int) -> Column:
-    """Anchors that stand alone in a stretch of least + 1 words, and places at the end of a stretch without any."""
+def _ends(hashes: Column) -> Column:
+    """Places of the anchors, from 0, and the number of words."""
+    bits = _number((32 - ANCHORS) << 9)  # none is set where hash >> 9 & 31 < ANCHORS, a power of two
+    return F.concat(F.array_remove(F.transform(hashes, lambda h, i: F.when(h.bitwiseAND(bits) == _number(0), i).otherwise(-1)), -1), F.array(F.size(hashes)))
 
-    def of(ends: Column) -> Column:
-        def between(k: Column) -> Column:
-            """Places from the anchor before the k-th end to that."""
-            end, before, earlier = (F.get(ends, k - back) for back in range(3))
-            alone = F.greatest(before, earlier + (least + 1), F.lit(least)) <= F.least(end - 1, before + least)
-            low, high = before + (least + 1), F.least(end - 1, size - least)
-            none = F.when(low <= high, F.struct(low.alias("low"), high.alias("high")))
-            own = F.when((k > 1) & alone, F.struct(before.alias("low"), before.alias("high")))
-            return F.array_compact(F.array(own, none))
-
-        # few ends are so far from the one before the last that there is more to see
-        far = F.array_compact(F.transform(ends, lambda end, k: F.when(end - F.coalesce(F.get(ends, k - 2), F.lit(-1)) > least, k)))
-        return F.flatten(F.transform(F.flatten(F.transform(far, between)), lambda x: F.sequence(x["low"], x["high"])))
-
-    return let(F.concat(F.array(F.lit(-1)), anchors, F.array(size)), of)
-
-
-def _selected(hashes: Column, starts: Column, least: int) -> Column:
-    """(pos, h, c) of the fingerprints; pos from 0."""
-    last = F.size(hashes) - least
-
-    def minima(anchors: Column) -> Column:
-        def own(i: Column, k: Column) -> Column:
-            h = F.get(hashes, i)
-            return F.when(F.coalesce(h <= F.get(hashes, F.get(anchors, k - 1)), F.lit(True)) | F.coalesce(h <= F.get(hashes, F.get(anchors, k + 1)), F.lit(True)), i)
-
-        return F.array_compact(F.transform(anchors, own))
 
-    def places(anchors: Column) -> Column:
-        return F.filter(F.array_distinct(F.concat(minima(anchors), starts, _sparse(anchors, F.size(hashes), least))), lambda i: i <= last)
-
-    anchors = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.shiftright(h, 9).bitwiseAND(_number(31)) < ANCHORS, i)))
-    chosen = let(anchors, places)
-    check = lambda i: F.hash(*(F.get(hashes, i + k) for k in (0, least // 2, least - 1)))
-    return F.transform(chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, least)).alias("h"), check(i).alias("c")))
+def _chosen(least: int) -> Column:
+    """Of the k-th end (words, starts, ends, k, end): its place if it is an anchor and a fingerprint, the places at the end of a
+    stretch of least + 1 words without any anchor before it, and at the first end all line starts."""
+    none = F.array().cast("array<int>")
+    end, size = F.col("end"), F.size("words")
+    before, after = F.get("ends", F.col("k") - 1), F.get("ends", F.col("k") + 1)
+    own = F.get("words", end)
+    lower = F.coalesce(own <= F.get("words", before), F.lit(True)) | F.coalesce(own <= F.get("words", after), F.lit(True))
+    low = F.coalesce(before, F.lit(-1)) + (least + 1)
+    alone = F.greatest(end, low, F.lit(least)) <= F.least(after - 1, end + least)  # in a stretch of least + 1 words
+    high = F.least(end - 1, size - least)
+    return F.concat(F.when(own.isNotNull() & (lower | alone), F.array(end)).otherwise(none), F.when(low <= high, F.sequence(low, high)).otherwise(none), F.when(F.col("k") == 0, F.col("starts")).otherwise(none))
 
 
 def fingerprints(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, pos, h, c): the fingerprints of docs (doc_id, text); pos is a word, from 0."""
-
-    def of(lines: Column) -> Column:
-        return let(_hashes(lines), lambda x: F.when(F.size(x) >= least_words, let(_line_starts(lines, least_words), lambda s: _selected(x, s, least_words))))
+    """(doc_id, pos, h, c): the fingerprints of docs (doc_id, text); pos is a word, from 0. A line's start may come twice."""
 
-    chosen = let(_lines(F.col("text")), of)
-    return docs.select("doc_id", F.inline(chosen))
+    # lambda functions are interpreted, so what needs none is left to rows in compiled code; of an outer explode Spark infers no
+    # filter, which would work all out twice
+    texts = docs.select("doc_id", _hashes(F.col("text")).alias("lines")).select("doc_id", F.flatten("lines").alias("words"), _line_starts(F.col("lines"), least_words).alias("starts"))
+    texts = texts.select("doc_id", "words", "starts", F.when(F.size("words") >= least_words, _ends(F.col("words"))).alias("ends"))
+    ends = texts.select("doc_id", "words", "starts", "ends", F.posexplode_outer("ends").alias("k", "end")).where("k is not null")
+    rows = ends.select("doc_id", "words", F.explode_outer(_chosen(least_words)).alias("pos")).where(F.col("pos") <= F.size("words") - least_words)
+    check = F.hash(*(F.get("words", F.col("pos") + k) for k in (0, least_words // 2, least_words - 1)))
+    return rows.select("doc_id", "pos", F.xxhash64(F.slice("words", F.col("pos") + 1, least_words)).alias("h"), check.alias("c"))
 
 
 def _places(texts: DataFrame) -> tuple[Column, Callable[[Column], tuple[Column, Column]]]:
@@ -183,16 +171,11 @@ def _extended(runs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     asked = ends.select(F.col("doc_id").alias("at"), "after", "pos").union(ends.select("doc0", "after", "pos0")).distinct()
     places = staged(asked.groupBy(F.col("at").alias("doc_id")).agg(F.collect_list(F.struct("after", "pos")).alias("places")))
 
-    def around(hashes: Column) -> Column:
-        def one(p: Column) -> Column:
-            low = F.greatest(p["pos"] - reach, F.lit(0))
-            words = F.when(p["after"], F.slice(hashes, p["pos"] + 2, reach)).otherwise(F.reverse(F.slice(hashes, low + 1, p["pos"] - low)))
-            return F.struct(p["after"].alias("after"), p["pos"].alias("pos"), words.alias("words"))
-
-        return F.transform("places", one)
-
-    texts = only(docs, places.select("doc_id"))
-    words = staged(texts.join(places, "doc_id").select(F.col("doc_id").alias("at"), F.inline(let(_hashes(_lines(F.col("text"))), around))))
+    texts = only(docs, places.select("doc_id")).join(places, "doc_id").select(F.col("doc_id").alias("at"), _hashes(F.col("text")).alias("lines"), "places")
+    rows = texts.select("at", F.flatten("lines").alias("hashes"), F.explode_outer("places").alias("p")).select("at", "hashes", "p.after", "p.pos")
+    low = F.greatest(F.col("pos") - reach, F.lit(0))
+    around = F.when(F.col("after"), F.slice("hashes", F.col("pos") + 2, reach)).otherwise(F.reverse(F.slice("hashes", low + 1, F.col("pos") - low)))
+    words = staged(rows.select("at", "after", "pos", around.alias("words")))
     own = ends.join(words.select(F.col("at").alias("doc_id"), "after", "pos", F.col("words").alias("own")), ["doc_id", "after", "pos"])
     both = own.join(words.select(F.col("at").alias("doc0"), "after", F.col("pos").alias("pos0"), F.col("words").alias("other")), ["doc0", "after", "pos0"])
     alike = let(F.array_position(F.zip_with("own", "other", lambda x, y: x.eqNullSafe(y)), False), lambda k: F.when(k > 0, k - 1).otherwise(F.size("own"))).cast("int")
@@ -204,7 +187,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, runs): of each document with later repeated runs, the words (first, last; from 0) of each; runs may overlap. Of
     a document whose whole text equals an earlier one's, runs is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    texts = staged(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("n"), (F.btrim("text", F.lit(_BLANK)) != "").alias("filled")))
+    texts = staged(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("n"), (F.ltrim("text", F.lit(_BLANK)) != "").alias("filled")))
     repeated = staged(texts.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("sha") != F.max("sha")).alias("several")).where("n > 1"))
     several, alike = repeated.where("several").select("doc_id"), repeated.where("not several").select("doc_id")
     single = only(texts, several, how="left_anti").where("filled")
@@ -226,14 +209,19 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, drop_emptie
     runs = settled(lambda: repeated_runs(docs, least_words).select(F.col("doc_id").alias("__of"), F.col("runs").alias("__repeated_runs")))
 
     def rebuilt(pieces: Column) -> Column:
-        gone = F.flatten(F.transform("__repeated_runs", lambda r: F.sequence(r["first"], r["last"])))
-        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
-        return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
+        """What stands between the runs; both their first and their last words rise."""
+        runs = F.col("__repeated_runs")
+
+        def between(k: Column) -> Column:
+            start = F.coalesce(F.get(runs, k - 1)["last"] + 1, F.lit(0))
+            return F.slice(pieces, start + 1, F.greatest(F.coalesce(F.get(runs, k)["first"], F.size(pieces)) - start, F.lit(0)))
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), between)), "")
 
     keyed = docs.withColumn("__of", F.col("doc_id").cast("long"))
     changed = only(keyed, runs.select("__of"), "__of").join(runs, "__of").withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.col("__repeated_runs").isNull(), "").otherwise(let(_pieces(F.col("text")), rebuilt))))
     if drop_emptied:
-        changed = changed.where(F.btrim("text", F.lit(_BLANK)) != "")
+        changed = changed.where(F.ltrim("text", F.lit(_BLANK)) != "")
     changed = changed.select(docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -254,6 +254,33 @@ def test_occurrences_are_counted_before_they_are_shuffled(spark, rule):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("window_days", [0, 7])
+def test_cooccurrence_reads_its_source_once(spark, tmp_path, window_days):
+    spark.range(400).selectExpr("id % 9 as r", "concat('x', id % 4) as i", "date_add(date'2026-01-01', cast(id div 90 as int)) as d", "id").write.parquet(str(tmp_path / "t"))
+    hits = rules.cooccurrence(occurrences(sources.rows(spark.read.parquet(str(tmp_path / "t")), "r", "i", "d", "id")), 1, window_days)
+    assert hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1, plan
+
+
+@pytest.mark.parametrize("window_days", [1, 3, 40])
+def test_days_are_near_across_stretches(spark, window_days):
+    dice = random.Random(window_days)
+    rows = sorted({(r, dice.choice("xyz"), datetime.date(1969, 10, 1) + datetime.timedelta(dice.randrange(200 * r + 30))) for r in range(4) for _ in range(40)})
+    table = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "r long, i string, d date, id long")
+    hits = rules.cooccurrence(occurrences(sources.rows(table, "r", "i", "d", "id")), 1, window_days).collect()
+    expected = {}
+    for r, (a, b) in itertools.product(range(4), itertools.combinations("xyz", 2)):
+        left, right = ([d for s, i, d in rows if (s, i) == (r, x)] for x in (a, b))
+        taken = []
+        for gap, x, y in sorted((abs((x - y).days), x, y) for x in left for y in right if abs((x - y).days) <= window_days):
+            if not any(x == k[0] or y == k[1] for k in taken):
+                taken.append((x, y, gap))
+        if taken:
+            expected[r, a, b] = [(str(x), str(y), gap) for x, y, gap in sorted(taken)]
+    assert {(h.record_seq, h.key_a, h.key_b): [tuple(p) for p in h.pairs] for h in hits} == expected
+
+
 def test_dirty_json_lines_never_raise(spark, tmp_path):
     lines = ['{"id": "a", "entries": [{"date": "2026-01-01", "item": "x"}, 5, null, {"item": 7}, {"date": 3}]}', "[]", "not json", '{"entries": "no"}', '{"id": 9}', ""]
     (tmp_path / "r.json").write_text("\n".join(lines))

@@ -67,7 +67,12 @@ def fold_literal(text: str) -> str:
 
 def strict_date(text: Column) -> Column:
     """The date of a `YYYY-MM-DD` string of a real day from year 1 on, else null."""
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~text.startswith("0000"), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & ~text.startswith("0000"), text.try_cast("date"))
+
+
+def iso(day: Column) -> Column:
+    """A date as `YYYY-MM-DD`. The cast is much the faster, and the same from year 1 to 9999."""
+    return F.when(F.year(day).between(1, 9999), day.cast("string")).otherwise(F.date_format(day, "yyyy-MM-dd"))
 
 
 def month_number(name: Column) -> Column:

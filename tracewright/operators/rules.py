@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from tracewright.operators.matching import named
+from tracewright.operators.matching import counted, named, named_counted
 
 PAIR = ["record_seq", "key"]
 
@@ -70,12 +70,39 @@ def frequency(occ: DataFrame, window_days: int = 30, min_count: int = 3) -> Data
     return _with_names(best.select(*PAIR, F.col("best.n").alias("count"), F.col("best.low").cast("string").alias("window_start"), F.col("best.day").cast("string").alias("window_end"), dates.alias("dates")), occ)
 
 
-def _pairs_named(hits: DataFrame, occ: DataFrame) -> DataFrame:
-    names = named(occ)
+def _pairs_named(hits: DataFrame, each: DataFrame) -> DataFrame:
+    """Both sides read the same columns of one table of names, so that it is worked out once."""
+    names = named_counted(each)
     for side in ("a", "b"):
-        own = names.select("record_seq", F.col("key").alias(f"key_{side}"), F.col("item").alias(f"item_{side}"), F.col("variants").alias(f"variants_{side}"), *(["record_id"] if side == "a" else []))
-        hits = hits.join(own, ["record_seq", f"key_{side}"])
-    return hits.select("record_seq", "key_a", "key_b", "record_id", "item_a", "item_b", "count", "dates", "variants_a", "variants_b", "window_days", "pairs")
+        hits = hits.join(names.select("record_seq", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "record_id", "item", "variants"))), ["record_seq", f"key_{side}"])
+    record_id = F.coalesce("record_id_a", "record_id_b").alias("record_id")
+    return hits.select("record_seq", "key_a", "key_b", record_id, "item_a", "item_b", "count", "dates", "variants_a", "variants_b", "window_days", "pairs")
+
+
+def _same_day(each: DataFrame) -> DataFrame:
+    """(record_seq, key_a, key_b, date_str) of items that share a cited date."""
+    cited = each.select("record_seq", "key", F.explode_outer(F.when(F.col("date_str") != "", F.array("date_str"))).alias("date_str")).where("date_str is not null")
+    keys = cited.groupBy("record_seq", "date_str").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
+    first = keys.select("record_seq", "date_str", "keys", F.explode("keys").alias("key_a"))
+    return first.select("record_seq", "key_a", "date_str", F.explode_outer(F.filter("keys", lambda k: k > F.col("key_a"))).alias("key_b")).where("key_b is not null")
+
+
+def _near(each: DataFrame, window_days: int) -> DataFrame:
+    """(record_seq, key_a, key_b, a, b): days of two items at most window_days apart.
+
+    Records are dealt out in stretches of eight windows; days in a stretch's last window also go to the next, where later
+    days look back on them. So a long record is spread and few days are doubled.
+    """
+    number, wide = F.unix_date("day").cast("long"), 8 * window_days
+    stretches = F.array_distinct(F.array(*(F.floor((number + ahead) / wide) for ahead in (0, window_days))))
+    dealt = each.select("record_seq", "key", "day", F.explode_outer(F.when(F.col("day").isNotNull(), stretches)).alias("stretch")).where("stretch is not null")
+    back = Over.partitionBy("record_seq", "stretch").orderBy(number).rangeBetween(-window_days, 0)
+    seen = dealt.withColumn("seen", F.collect_set(F.struct("key", "day")).over(back)).where(F.col("stretch") == F.floor(number / wide))
+    pairs = seen.where(F.size("seen") > 1).select("record_seq", "key", "day", F.explode("seen").alias("other"))
+    earlier = F.col("other.key") < F.col("key")
+    pairs = pairs.where(earlier | (F.col("other.key") > F.col("key")) & (F.col("other.day") < F.col("day")))
+    sides = {"key_a": ("other.key", "key"), "key_b": ("key", "other.key"), "a": ("other.day", "day"), "b": ("day", "other.day")}
+    return pairs.select("record_seq", *(F.when(earlier, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in sides.items()))
 
 
 def cooccurrence(occ: DataFrame, min_count: int = 2, window_days: int = 0) -> DataFrame:
@@ -86,24 +113,21 @@ def cooccurrence(occ: DataFrame, min_count: int = 2, window_days: int = 0) -> Da
     """
     _whole("min_count", min_count, 1)
     _whole("window_days", window_days, 0)
-    cited = occ.where("date_str <> ''").select("record_seq", "key", "date_str", "day").distinct()
+    each = counted(occ)
     no_pairs = F.expr("cast(array() as array<struct<a: string, b: string, gap: int>>)")
     if window_days == 0:
-        a, b = (cited.select("record_seq", F.col("key").alias(f"key_{s}"), "date_str") for s in "ab")
-        both = a.join(b, ["record_seq", "date_str"]).where("key_a < key_b")
-        hits = both.groupBy("record_seq", "key_a", "key_b").agg(F.count("*").alias("count"), F.array_sort(F.collect_list("date_str")).alias("dates"))
+        hits = _same_day(each).groupBy("record_seq", "key_a", "key_b").agg(F.count("*").alias("count"), F.array_sort(F.collect_list("date_str")).alias("dates"))
         hits = hits.where(F.col("count") >= min_count).withColumns({"window_days": F.lit(0), "pairs": no_pairs})
-        return _pairs_named(hits, occ)
-    days = cited.where("day is not null").select("record_seq", "key", "date_str", "day", F.floor(F.unix_date("day") / window_days).alias("bucket"))
-    a = days.select("record_seq", F.col("key").alias("key_a"), F.col("date_str").alias("a"), F.col("day").alias("day_a"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
-    b = days.select("record_seq", F.col("key").alias("key_b"), F.col("date_str").alias("b"), F.col("day").alias("day_b"), "bucket")
-    near = a.join(b, ["record_seq", "bucket"]).where("key_a < key_b").withColumn("gap", F.abs(F.datediff("day_a", "day_b"))).where(F.col("gap") <= window_days)
-    listed = near.groupBy("record_seq", "key_a", "key_b").agg(F.array_sort(F.collect_list(F.struct("gap", "a", "b"))).alias("all"))
-    taken = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: (k["a"] == x["a"]) | (k["b"] == x["b"])), kept).otherwise(F.concat(kept, F.array(x))))
-    pairs = F.array_sort(F.transform("taken", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["gap"].alias("gap"))))
-    hits = listed.withColumn("taken", taken).withColumn("pairs", pairs).withColumn("count", F.size("pairs").cast("long")).where(F.col("count") >= min_count)
+        return _pairs_named(hits, each)
+    apart = F.abs(F.datediff("a", "b"))
+    listed = _near(each, window_days).groupBy("record_seq", "key_a", "key_b").agg(F.array_sort(F.collect_set(F.struct(apart.alias("gap"), "a", "b"))).alias("all"))
+    none = F.expr("named_struct('a', cast(array() as array<date>), 'b', cast(array() as array<date>))")
+    both = lambda kept, x: F.struct(*(F.array_append(kept[s], x[s]).alias(s) for s in "ab"))
+    taken = F.aggregate("all", none, lambda kept, x: F.when(F.array_contains(kept["a"], x["a"]) | F.array_contains(kept["b"], x["b"]), kept).otherwise(both(kept, x)))
+    pairs = F.array_sort(F.zip_with("taken.a", "taken.b", lambda a, b: F.struct(a.cast("string").alias("a"), b.cast("string").alias("b"), F.abs(F.datediff(a, b)).alias("gap"))))
+    hits = listed.where(F.size("all") >= min_count).withColumn("taken", taken).withColumn("pairs", pairs).withColumn("count", F.size("pairs").cast("long")).where(F.col("count") >= min_count)
     dates = F.array_sort(F.array_distinct(F.flatten(F.transform("pairs", lambda x: F.array(x["a"], x["b"])))))
-    return _pairs_named(hits.select("record_seq", "key_a", "key_b", "count", dates.alias("dates"), F.lit(window_days).alias("window_days"), "pairs"), occ)
+    return _pairs_named(hits.select("record_seq", "key_a", "key_b", "count", dates.alias("dates"), F.lit(window_days).alias("window_days"), "pairs"), each)
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import iso
+
 
 def nested(records: DataFrame, order: str | None = None) -> DataFrame:
     """records (id, entries, ...) with record_seq: `order`, a column that identifies each record, or a number given once
@@ -35,7 +37,7 @@ def rows(table: DataFrame, record: str, item: str, date: str, tie: str | Column)
         F.col(record).cast("long").alias("record_seq"),
         F.col(record).cast("string").alias("record_id"),
         F.col(item).cast("string").alias("original"),
-        F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("")).alias("date_str"),
+        F.coalesce(iso(day), F.lit("")).alias("date_str"),
         (F.col(tie) if isinstance(tie, str) else tie).cast("long").alias("idx"),
     )
 

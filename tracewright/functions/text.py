@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Letters that full case folding changes otherwise than F.lower does, by rule: each with what it becomes. A single lower-case
 #: letter that lower case alone gives is left out.
 FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1FBD0)) if c.lower() == c != c.casefold()}
+#: The letters that folding turns into two or three.
+LENGTHENED = {n: [c for c in map(chr, range(0x80, 0x1FBD0)) if len(c.casefold()) == n] for n in (2, 3)}
 #: White space as Unicode has it, and the four separators of ASCII.
 SPACE = r"[\s\x1c-\x1f]"
 #: Month names.
@@ -43,13 +45,25 @@ _SINGLE = {c: x for c, x in FOLDED.items() if len(x) == 1}
 _LONGER = {c: x for c, x in FOLDED.items() if len(x) > 1}
 
 
+def one_of(letters: Iterable[str]) -> str:
+    """A pattern of one of the letters, none of them ASCII: neighbours as ranges, and ASCII ruled out first, as a long class is
+    slow."""
+    codes = sorted(map(ord, letters))
+    starts = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+    return rf"[\x{{80}}-\x{{10ffff}}&&[{ranges}]]"
+
+
 def folded(text: Column) -> Column:
-    """Full case folding; text without letters beyond ASCII takes lower case alone."""
+    """Full case folding; text without letters beyond ASCII takes lower case alone. Letters that become several are replaced
+    one kind at a time, as few kinds stand in a text; what they become holds none of them."""
     longer = F.str_to_map(F.lit(";".join(f"{c}={x}" for c, x in _LONGER.items())), F.lit(";"), F.lit("="))
+    pattern = one_of(_LONGER)
 
     def spread(plain: Column) -> Column:
-        letters = F.transform(F.split(plain, "", -1), lambda c: F.coalesce(F.try_element_at(longer, c), c))
-        return F.when(plain.rlike(f"[{''.join(_LONGER)}]"), F.array_join(letters, "")).otherwise(plain)
+        kinds = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)))
+        return F.when(plain.rlike(pattern), F.aggregate(kinds, plain, lambda x, c: F.replace(x, c, F.element_at(longer, c)))).otherwise(plain)
 
     plain = F.translate(F.lower(text), "".join(_SINGLE), "".join(_SINGLE.values()))
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(let(plain, spread))

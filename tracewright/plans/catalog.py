@@ -465,7 +465,7 @@ _WORDS = "regexp_split_to_array(lower(text), '[^0-9a-z]+')"
     select doc_id, term, cast(len(list_filter(w, lambda x: x = term)) as bigint) as n from w, (values ('license'), ('token'), ('version')) t(term) where len(list_filter(w, lambda x: x = term)) > 0"""
 )
 def gazetteer_hits_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(extract.term_hits(F.col("text"), ["license", "token", "version"])).alias("hit"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode_outer(extract.term_hits(F.col("text"), ["license", "token", "version"])).alias("hit")).where("hit is not null")
     return docs.groupBy("doc_id", F.col("hit.term").alias("term")).agg(F.count("*").alias("n"))
 
 
@@ -479,7 +479,7 @@ def gazetteer_hits_documents(spark, sf_dir):
 )
 def gazetteer_longest_match(spark, sf_dir):
     terms = ["license", "Apache License", "GNU General Public License"]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(extract.term_hits(F.col("text"), terms)).alias("hit"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode_outer(extract.term_hits(F.col("text"), terms)).alias("hit")).where("hit is not null")
     return docs.groupBy("doc_id", F.col("hit.term").alias("term")).agg(F.count("*").alias("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from tracewright.operators.matching import counted, named, named_counted
+from tracewright.operators.matching import counted, named, named_counted, named_with_days
 
 PAIR = ["record_seq", "key"]
 
@@ -49,10 +49,11 @@ def gap(occ: DataFrame, gap_days: int = 90) -> DataFrame:
     """(record_seq, key, record_id, item, gap_days, before_date, after_date, variants): consecutive dated occurrences more
     than gap_days apart."""
     _whole("gap_days", gap_days, 0)
-    order = Over.partitionBy(*PAIR).orderBy("day")
-    steps = _days(occ).select(*PAIR, F.lag("day").over(order).alias("last"), "day")
-    hits = steps.withColumn("gap_days", F.datediff("day", "last")).where(F.col("gap_days") > gap_days)
-    return _with_names(hits.select(*PAIR, "gap_days", F.col("last").cast("string").alias("before_date"), F.col("day").cast("string").alias("after_date")), occ)
+    last = F.greatest(F.size("days") - 1, F.lit(0))
+    steps = F.zip_with(F.slice("days", 1, last), F.slice("days", 2, last), lambda a, b: F.struct(F.datediff(b, a).alias("gap"), a.alias("before"), b.alias("after")))
+    hits = named_with_days(occ).select("*", F.explode_outer(F.filter(steps, lambda x: x["gap"] > gap_days)).alias("step")).where("step is not null")
+    dates = (F.col(f"step.{x}").cast("string").alias(f"{x}_date") for x in ("before", "after"))
+    return hits.select(*PAIR, F.col("step.gap").alias("gap_days"), *dates, "record_id", "item", "variants")
 
 
 def frequency(occ: DataFrame, window_days: int = 30, min_count: int = 3) -> DataFrame:

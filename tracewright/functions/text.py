@@ -48,9 +48,8 @@ _LONGER = {c: x for c, x in FOLDED.items() if len(x) > 1}
 def one_of(letters: Iterable[str]) -> str:
     """A pattern of one of the letters, none of them ASCII: neighbours as ranges, and ASCII ruled out first, as a long class is
     slow."""
-    codes = sorted(map(ord, letters))
-    starts = [c for c in codes if c - 1 not in set(codes)]
-    ends = [c for c in codes if c + 1 not in set(codes)]
+    codes = set(map(ord, letters))
+    starts, ends = (sorted(c for c in codes if c + step not in codes) for step in (-1, 1))
     ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
     return rf"[\x{{80}}-\x{{10ffff}}&&[{ranges}]]"
 
